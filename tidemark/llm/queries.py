@@ -69,15 +69,13 @@ v AS (
     UNION ALL SELECT {_KEY}, 'median_pf', median_pf FROM evaluations) LEFT JOIN a USING (key)
   WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
 s AS (
-  SELECT archetype, metric, n,
+  SELECT archetype, metric,
     CASE WHEN abs(v) <= 1e-9 THEN 0 ELSE sign(v) * (1 + CAST(ceil(ln(abs(v) / 1e-9) / ln({_G})) AS INT)) END AS bucket,
     n_values, p
-  FROM (SELECT archetype, metric, v, 1 AS n, count(*) OVER (PARTITION BY archetype, metric) AS n_values FROM v),
+  FROM (SELECT archetype, metric, v, count(*) OVER (PARTITION BY archetype, metric) AS n_values FROM v),
     (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) AS t(p)),
-c AS (
-  SELECT archetype, metric, n_values, p, bucket, count(*) AS n,
-    sum(count(*)) OVER (PARTITION BY archetype, metric, p ORDER BY bucket) AS upto
-  FROM s GROUP BY ALL)
+b AS (SELECT archetype, metric, n_values, p, bucket, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY archetype, metric, p ORDER BY bucket) AS upto FROM b)
 SELECT archetype, metric, n_values, p,
   round(CASE WHEN bucket = 0 THEN 0.0 ELSE sign(bucket) * 2e-9 / ({_G} + 1) * pow({_G}, abs(bucket) - 1) END, 6) AS value
 FROM c WHERE upto > floor(p * (n_values - 1)) AND upto - n <= floor(p * (n_values - 1))"""
