@@ -17,7 +17,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -174,10 +174,12 @@ def backtest_signals(bars: DataFrame, keys: list[str], config: BacktestConfig =
         *keys, "part", F.lit(2**30).alias("seq"), F.col("last_ts").alias("ts"), F.lit(1).alias("kind"),
         F.when(F.col("outgoing") == LONG, 1).otherwise(-1).alias("side"), F.col("last_close").alias("price"), F.lit("eod").alias("reason"),
     )
-    paired = previous(
-        true_ones.unionByName(lingering), keys, "part", [F.col("seq"), F.col("kind")],
-        {"ts": "entry_ts", "price": "entry_open", "kind": "entry_kind"},
-    ).where("kind = 1")
+    if config.sessions:  # positions begin and end in one session
+        before = Window.partitionBy(*keys, "part").orderBy("seq", "kind")
+        paired = true_ones.select("*", F.lag("ts").over(before).alias("entry_ts"), F.lag("price").over(before).alias("entry_open")).where("kind = 1")
+    else:
+        order = [F.col("seq"), F.col("kind")]
+        paired = previous(true_ones.unionByName(lingering), keys, "part", order, {"ts": "entry_ts", "price": "entry_open"}).where("kind = 1")
     side = F.col("side")
     entry = F.col("entry_open") + side * config.slippage
     out = F.col("price") - side * config.slippage

@@ -38,12 +38,9 @@ class Strategy:
     timeframes: tuple[str, ...] = ()
     keep = 200
 
-    def __init_subclass__(cls, **kw: Any) -> None:
-        super().__init_subclass__(**kw)
-        if not cls.timeframes:
-            raise TypeError(f"{cls.__name__} declares no timeframes")
-
     def __init__(self, **given: Any):
+        if not self.timeframes:  # not at class creation, as pickling by value makes classes bit by bit
+            raise TypeError(f"{type(self).__name__} declares no timeframes")
         unknown = set(given) - set(self.parameters)
         if unknown:
             raise ValueError(f"unknown parameters {sorted(unknown)}")

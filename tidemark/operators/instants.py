@@ -44,7 +44,8 @@ def instants(df: DataFrame, text: str, zone: str) -> DataFrame:
     Reasons: ambiguous and nonexistent (wall time met twice or never in its zone), nozone,
     unreadable (also empty texts, impossible dates and unknown zone names).  Digits finer
     than a microsecond are cut off.  A null text gives nulls.  Bare numbers are
-    Unix seconds, milliseconds or microseconds by their size.
+    Unix seconds, milliseconds or microseconds by their size.  Columns of df named instant
+    or format are replaced; names that begin with two underscores are the operator's own.
     """
     spark = df.sparkSession
     known = sorted(str(z) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds())
@@ -128,7 +129,8 @@ def instants(df: DataFrame, text: str, zone: str) -> DataFrame:
         .otherwise(stamp)
     )
     fmt = F.when(F.col("__epoch").isNotNull(), F.lit("epoch")).otherwise(F.col("__p.format"))
-    return d.select(*df.columns, out.alias("instant"), fmt.alias("format"))
+    kept = [c for c in df.columns if c not in ("instant", "format")]
+    return d.select(*kept, out.alias("instant"), fmt.alias("format"))
 
 
 def all_stamps(raw_bars: DataFrame, generations: DataFrame, evaluations: DataFrame) -> DataFrame:

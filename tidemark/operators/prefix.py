@@ -56,8 +56,9 @@ def with_halo(df: DataFrame, keys: list[str], part: str, rows: int, halo: int) -
     w = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("__n").over(w)
     days = days.select(*keys, part, F.floor((upto - F.col("__n")) / rows).alias("__own"), F.floor((upto + halo - 1) / rows).alias("__to"))
+    days = days.withColumn("__last", F.max("__own").over(Window.partitionBy(*keys)))
     # chunks that begin within the next ``halo`` rows; a chunk's first day begins at or after chunk * rows
-    days = days.select(*keys, part, "__own", F.explode(F.sequence("__own", F.greatest("__own", "__to"))).alias("chunk"))
+    days = days.select(*keys, part, "__own", F.explode(F.sequence("__own", F.greatest("__own", F.least("__to", "__last")))).alias("chunk"))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*keys, part]]
     cond = on[0]
     for c in on[1:]:

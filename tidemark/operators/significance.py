@@ -13,15 +13,18 @@ from tidemark.operators.grouped_stream import whole_groups
 from tidemark.operators.metrics import CAP, profit_factor
 from tidemark.schema import SESSION_END
 
-MODULUS, FACTOR = 2_147_483_647, 48_271
+MODULUS, SHIFT = 2_147_483_647, 48_271
 
 
 def draw(resample: Column, place: Column, n: Column, seed: int) -> Column:
-    """A reproducible pseudo-random number below n of (resample, place): two multiplicative congruential steps."""
+    """A reproducible pseudo-random number below n of (resample, place): four quadratic steps modulo a prime.
+
+    Quadratic, as multiples alone would deal the places of a resample almost evenly.
+    """
     x = (resample * 7919 + place * 104_729 + seed * 1_299_709 + 1) % MODULUS
-    x = (x * FACTOR) % MODULUS
-    x = (x * FACTOR) % MODULUS
-    return ((x * FACTOR) % MODULUS) % n
+    for _ in range(4):
+        x = (x * (x + SHIFT) + resample) % MODULUS
+    return x % n
 
 
 def bootstrap(trades: DataFrame, keys: list[str], n_resamples: int = 500, seed: int = 0, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -61,48 +64,61 @@ def bootstrap_numpy(pnl: np.ndarray, n_resamples: int = 5000, seed: int = 0, low
     return float(np.quantile(pf.real, low)), float(np.quantile(pf.real, high)), float((pf.imag > 0).mean())
 
 
+def _outcomes(high: np.ndarray, low: np.ndarray, close: np.ndarray, stops: dict[int, float], rr: float, slippage: float, realistic: bool) -> np.ndarray:
+    """P&L of an entry at each bar's close, for long (row 0) and short (row 1); NaN where there is no risk to take."""
+    m = len(close)
+    out = np.full((2, m), np.nan)
+    later = np.arange(m)[None, :] > np.arange(m)[:, None]
+    for row, sign in enumerate((1, -1)):
+        entry = close + sign * slippage
+        risk = (entry - stops[sign]) * sign
+        worst, best = (low, high) if sign == 1 else (high, low)
+        target = entry + sign * risk * rr
+        stopped = (worst - stops[sign]) * sign <= 0
+        reached = (best[None, :] - target[:, None]) * sign >= 0
+        hit = later & (stopped[None, :] | reached)
+        k = hit.argmax(1)
+        some = hit.any(1)
+        price = np.where(some, np.where(stopped[k], stops[sign], target), np.where(np.arange(m) < m - 1, close[-1], close))
+        free = some & (not realistic)
+        paid = price - np.where(free, 0.0, sign * slippage)
+        out[row] = np.where(risk > 0, (paid - entry) * sign, np.nan)
+    return out
+
+
 def _session_trials(tbl: pa.Table, trials: int, seed: int, rr: float, slippage: float, realistic: bool) -> pa.Table | None:
-    """Gains and losses per trial of each session, sorted by session and time."""
+    """Gains and losses per trial of each session, sorted by session and time.
+
+    What an entry earns depends only on its bar and side, so it is worked out once and the trials only draw.
+    """
     key = tbl.column("__session").to_numpy()
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.r_[start[1:], len(key)]
     high, low, close = (tbl.column(c).to_numpy(zero_copy_only=False) for c in ("high", "low", "close"))
     early = tbl.column("early").to_numpy(zero_copy_only=False).astype(bool)
     wanted = tbl.column("n_entries").to_numpy()
-    symbol = tbl.column("symbol")
-    rows: list[tuple] = []
+    sessions, wins, losses = [], [], []
     for a, z in zip(start, end):
         bars = np.arange(a + 1, z)[early[a + 1 : z]]
         if z - a < 2 or not len(bars):
             continue
-        rng = np.random.default_rng([seed, int(key[a]) & 0xFFFFFFFF, int(key[a]) >> 32 & 0xFFFFFFFF])
-        h, lo, c = high[bars], low[bars], close[bars]
+        word = int(key[a])
+        rng = np.random.default_rng([seed, word & 0xFFFFFFFF, word >> 32 & 0xFFFFFFFF])
+        table = _outcomes(high[bars], low[bars], close[bars], {1: low[a], -1: high[a]}, rr, slippage, realistic)
         n = min(int(wanted[a]), len(bars))
-        for trial in range(trials):
-            win = loss = 0.0
-            picks = rng.choice(len(bars), size=n, replace=False)
-            for i, sign in zip(picks, np.where(rng.random(n) < 0.5, 1, -1)):
-                entry = c[i] + sign * slippage
-                stop = low[a] if sign == 1 else high[a]
-                risk = (entry - stop) * sign
-                if risk <= 0:
-                    continue
-                target = entry + sign * risk * rr
-                later = slice(i + 1, None)
-                worst, best = (lo[later], h[later]) if sign == 1 else (h[later], lo[later])
-                hit = ((worst - stop) * sign <= 0) | ((best - target) * sign >= 0)
-                k = int(hit.argmax()) if hit.any() else -1
-                if k >= 0:
-                    price = stop if (worst[k] - stop) * sign <= 0 else target
-                    paid = price - sign * slippage if realistic else price
-                else:
-                    paid = (c[-1] if i + 1 < len(c) else c[i]) - sign * slippage
-                pnl = (paid - entry) * sign
-                win, loss = win + max(pnl, 0.0), loss + max(-pnl, 0.0)
-            rows.append((symbol[int(a)].as_py(), trial, win, loss))
-    if not rows:
+        picks = rng.random((trials, len(bars))).argsort(axis=1)[:, :n]
+        pnl = table[(rng.random((trials, n)) < 0.5).astype(int), picks]
+        sessions.append(a)
+        wins.append(np.nansum(np.maximum(pnl, 0), axis=1))
+        losses.append(np.nansum(np.maximum(-pnl, 0), axis=1))
+    if not sessions:
         return None
-    return pa.table({n: pa.array(v, t) for n, v, t in zip(("symbol", "trial", "win", "loss"), zip(*rows), (pa.string(), pa.int32(), pa.float64(), pa.float64()))})
+    return pa.table(
+        {
+            "symbol": tbl.column("symbol").take(pa.array(np.repeat(sessions, trials))),
+            "trial": np.tile(np.arange(trials, dtype=np.int32), len(sessions)), "win": np.concatenate(wins), "loss": np.concatenate(losses),
+        }
+    )
 
 
 def random_baseline(bars: DataFrame, trades: DataFrame, *, trials: int = 200, seed: int = 0, rr: float = 2.0, slippage: float = 0.01, realistic: bool = True) -> DataFrame:

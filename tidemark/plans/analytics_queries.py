@@ -370,8 +370,10 @@ trades AS (SELECT symbol, CASE sg WHEN 1 THEN 'long' ELSE 'short' END AS side, 1
 
 _BOOT = """
 numbered AS (SELECT symbol, pnl, row_number() OVER (PARTITION BY symbol ORDER BY entry_ts, exit_ts, pnl) - 1 AS place, count(*) OVER (PARTITION BY symbol) AS n FROM trades),
-drawn AS (SELECT symbol, r, ((((r * 7919 + place * 104729 + 7 * 1299709 + 1) % 2147483647 * 48271 % 2147483647) * 48271 % 2147483647) * 48271 % 2147483647) % n AS place
+d0 AS (SELECT symbol, r, n, (r * 7919 + place * 104729 + 7 * 1299709 + 1) % 2147483647 AS x
   FROM numbered, (SELECT unnest(range(200)) AS r)),
+d1 AS (SELECT * REPLACE ((x * (x + 48271) + r) % 2147483647 AS x) FROM d0), d2 AS (SELECT * REPLACE ((x * (x + 48271) + r) % 2147483647 AS x) FROM d1),
+d3 AS (SELECT * REPLACE ((x * (x + 48271) + r) % 2147483647 AS x) FROM d2), drawn AS (SELECT symbol, r, (x * (x + 48271) + r) % 2147483647 % n AS place FROM d3),
 pfs AS (SELECT symbol, r, coalesce(sum(pnl) FILTER (pnl > 0), 0.0) AS w, coalesce(-sum(pnl) FILTER (pnl < 0), 0.0) AS l FROM drawn JOIN numbered USING (symbol, place) GROUP BY 1, 2),
 ci AS (SELECT symbol, quantile_cont(CASE WHEN l > 0 THEN w / l WHEN w > 0 THEN 100.0 ELSE 0.0 END, 0.05) AS ci_lower,
   quantile_cont(CASE WHEN l > 0 THEN w / l WHEN w > 0 THEN 100.0 ELSE 0.0 END, 0.95) AS ci_upper, avg(CAST(l <= 0 AS DOUBLE)) AS fraction_capped FROM pfs GROUP BY 1),
@@ -439,7 +441,7 @@ _HOLDOUT = f"""WITH RECURSIVE {DAILY_SQL.replace("bars AS (", "bars0 AS (")}, nb
 f AS (SELECT symbol, count(*) FILTER (ts < TIMESTAMP '2001-01-01') AS n FROM nb GROUP BY 1), hold AS (SELECT nb.* FROM nb JOIN f USING (symbol) WHERE g > n - 200),
 pts AS (SELECT '' AS symbol, 0 AS grid_id, 40.0 AS lo, 60.0 AS hi){_series_sql("hold", "_h", "pts")}
 SELECT {_TRADE_SELECT} FROM trades_h WHERE entry_ts >= TIMESTAMP '2001-01-01'"""
-_CRYPTO = f"""WITH c AS (SELECT feed AS symbol, time AT TIME ZONE 'UTC' AS ts, open, high, low, close, volume FROM bars_5m WHERE asset_class <> 'stocks' AND close IS NOT NULL AND NOT isnan(close)),
+_CRYPTO = f"""WITH c AS (SELECT feed AS symbol, time AT TIME ZONE 'UTC' AS ts, open, high, low, close, volume FROM bars_5m WHERE asset_class <> 'stocks' AND close IS NOT NULL AND close::VARCHAR <> 'nan'),
 bars AS (SELECT symbol, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_max(close, (ts, close, open, high, low, volume)) AS close FROM c GROUP BY 1, 2),
 s AS (SELECT *, row_number() OVER {_W} AS rn, lag(close, 5) OVER {_W} AS c5 FROM bars)
 SELECT symbol, ts, round(close, 6) AS close, round(CASE WHEN rn >= 10 THEN avg(close) OVER {_ROWS(10)} END, 6) AS sma_10, round(CASE WHEN rn >= 6 THEN (close / nullif(c5, 0) - 1) * 100 END, 6) AS roc_5 FROM s"""
@@ -490,7 +492,7 @@ SELECT 'dips' AS strategy, {_R('median_pf', 'std_pf', 'ci_lower', n=5)}, n_trade
 trades AS (SELECT *, exit_price - entry_price AS pnl, (exit_price - entry_price) / entry_price AS pnl_pct, CAST(date_diff('minute', entry_ts, exit_ts) AS INT) AS duration_mins FROM x) SELECT {_TRADE_SELECT} FROM trades""",
     "q_session_gaps": f"""WITH {SESSION_SQL}, g AS (SELECT symbol, CAST(ts AS DATE) AS day, ts, lag(ts) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) AS p FROM bars)
 SELECT symbol, CAST(day AS VARCHAR) AS day, count(*) AS n_bars, count(*) FILTER (date_diff('second', p, ts) > 600) AS n_gaps, count(*) FILTER (minute(ts) % 5 <> 0 OR second(ts) <> 0) AS n_unaligned FROM g GROUP BY symbol, g.day""",
-    "q_violations": """WITH k AS (SELECT feed, time, count(*) AS n, sum(CASE WHEN open IS NULL OR isnan(open) OR high IS NULL OR isnan(high) OR low IS NULL OR isnan(low) OR close IS NULL OR isnan(close) THEN 1 ELSE 0 END) AS bad FROM bars_5m GROUP BY 1, 2)
+    "q_violations": """WITH k AS (SELECT feed, time, count(*) AS n, sum(CASE WHEN open IS NULL OR open::VARCHAR = 'nan' OR high IS NULL OR high::VARCHAR = 'nan' OR low IS NULL OR low::VARCHAR = 'nan' OR close IS NULL OR close::VARCHAR = 'nan' THEN 1 ELSE 0 END) AS bad FROM bars_5m GROUP BY 1, 2)
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (time IS NULL), 0) AS BIGINT) AS n_without_time, CAST(coalesce(sum(n - 1) FILTER (time IS NOT NULL), 0) AS BIGINT) AS n_repeated, CAST(sum(bad) AS BIGINT) AS n_bad_prices FROM k""",
     "q_coverage_gaps": f"""WITH {DAILY_SQL}, c AS (SELECT symbol, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS z FROM bars GROUP BY 1)
 SELECT symbol, '1994-06-01' AS gap_start, CAST(CAST(least(a, DATE '2002-02-01') - INTERVAL 1 DAY AS DATE) AS VARCHAR) AS gap_end FROM c WHERE DATE '1994-06-01' < a

@@ -49,11 +49,12 @@ bars AS (
   SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, arg_min(price, o) AS open, max(price) AS high, min(price) AS low,
     arg_max(price, o) AS close, sum(volume) AS volume FROM ticks GROUP BY 1, 2)"""
 
+# NaN is told by its text: DuckDB folds isnan() away by the statistics of parquet files, which leave NaN out
 SESSION_SQL = """
 good AS (
   SELECT feed, time, open, high, low, close, volume FROM bars_5m
   WHERE asset_class = 'stocks' AND time IS NOT NULL AND open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL
-    AND volume IS NOT NULL AND NOT isnan(open) AND NOT isnan(high) AND NOT isnan(low) AND NOT isnan(close) AND NOT isnan(volume)
+    AND volume IS NOT NULL AND open::VARCHAR <> 'nan' AND high::VARCHAR <> 'nan' AND low::VARCHAR <> 'nan' AND close::VARCHAR <> 'nan' AND volume::VARCHAR <> 'nan'
   QUALIFY row_number() OVER (PARTITION BY feed, time ORDER BY load_no DESC, bar_id DESC) = 1),
 wall AS (SELECT feed AS symbol, time AT TIME ZONE 'America/New_York' AS ts, open, high, low, close, volume FROM good),
 bars AS (

@@ -108,7 +108,7 @@ SELECT s.strategy_id, s.strategy_hash, e.eval_type, e.evaluated_at, e.score, e.c
     "lb_generations_5m": f"SELECT archetype, {_ROLLUP} FROM generations WHERE strategy_hash IN (SELECT strategy_hash FROM strategies WHERE timeframe = '5m') GROUP BY 1",
     "lb_evaluations": "SELECT t.eval_type, coalesce(n, 0) AS n, CAST(coalesce(p, 0) AS BIGINT) AS n_promising FROM (VALUES ('fast'), ('canonical'), ('holdout')) t(eval_type) LEFT JOIN (SELECT eval_type, count(*) AS n, sum(promising) AS p FROM evaluations GROUP BY 1) USING (eval_type)",
     "lb_median": """WITH a AS (SELECT strategy_hash, arg_min(archetype, strategy_id) AS archetype FROM strategies GROUP BY 1)
-SELECT archetype, round(median(score), 6) AS median_score FROM evaluations JOIN a USING (strategy_hash) WHERE score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) GROUP BY 1""",
+SELECT archetype, round(median(score), 6) AS median_score FROM evaluations JOIN a USING (strategy_hash) WHERE score IS NOT NULL AND score::VARCHAR <> 'nan' AND NOT isinf(score) GROUP BY 1""",
     "lb_quirks": """WITH g AS (SELECT try_cast(substring(generated_at, 1, 10) AS DATE) AS day, stringification_firings + kwarg_validator_firings + unreachable_default_firings AS n FROM generations)
 SELECT CAST(CAST(d.day AS DATE) AS VARCHAR) AS day, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_firings FROM (SELECT unnest(generate_series(DATE '2022-03-31' - INTERVAL 59 DAY, DATE '2022-03-31', INTERVAL 1 DAY)) AS day) d LEFT JOIN g ON g.day = CAST(d.day AS DATE) GROUP BY d.day""",
     "lb_cohort": f"""SELECT strategy_hash, round(max(ci_lower), 6) AS best_ci, max(n_oos_trades) AS best_n FROM evaluations e

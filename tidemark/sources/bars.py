@@ -112,7 +112,8 @@ def rth_only(bars: DataFrame) -> DataFrame:
 def is_open(ts: Column, holidays: list[dt.date], first: str = "09:30", last: str = "16:00") -> Column:
     """Weekday, no holiday, and within the open hours."""
     clock = F.date_format(ts, "HH:mm")
-    return (F.weekday(ts) < 5) & ~F.to_date(ts).isin(holidays or [dt.date(1, 1, 1)]) & (clock >= first) & (clock < last)
+    closed = F.to_date(ts).cast("string").isin([d.isoformat() for d in holidays]) if holidays else F.lit(False)
+    return (F.weekday(ts) < 5) & ~closed & (clock >= first) & (clock < last)
 
 
 def coverage(bars: DataFrame) -> DataFrame:
