@@ -97,6 +97,8 @@ class PassageIndex:
         at = np.minimum(at, len(self.grams) - 1)
         same = self.grams[at] == h[hit]
         hit, at = hit[same], at[same]
+        if not len(hit):
+            return
         n = self.count[at]
         # every shared q-gram as (passage, diagonal, place in the text)
         total = int(n.sum())

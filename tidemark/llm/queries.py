@@ -67,7 +67,7 @@ v AS (
   SELECT coalesce(archetype, 'unknown') AS archetype, metric, v FROM (
     SELECT {_KEY} AS key, 'score' AS metric, score AS v FROM evaluations
     UNION ALL SELECT {_KEY}, 'median_pf', median_pf FROM evaluations) LEFT JOIN a USING (key)
-  WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
+  WHERE v IS NOT NULL AND v::VARCHAR <> 'nan' AND NOT isinf(v)),
 s AS (
   SELECT archetype, metric,
     CASE WHEN abs(v) <= 1e-9 THEN 0 ELSE sign(v) * (1 + CAST(ceil(ln(abs(v) / 1e-9) / ln({_G})) AS INT)) END AS bucket,
