@@ -11,9 +11,9 @@ stored rows stay valid for ever.
 The distance is the sum of its parts over the blocks, so of two trees within ``max_changes`` at
 least one block agrees wholly, and there the triangle inequality allows only equal pivot
 distances; over all blocks the largest differences may add up to ``max_changes``.  The pivot
-distances of a block, packed into one sortable number with the shape, are the key of the range
-join; survivors are verified by the true distance.  Equal trees are one class
-and are joined once.
+distances of a block, packed into one sortable number, are with the shape the key of the join,
+and the order in which stored rows are range-partitioned; survivors are verified by the true
+distance.  Equal trees are one class and are joined once.
 """
 
 from __future__ import annotations
@@ -197,7 +197,8 @@ def _pivot_row(row_id: int, spec: str | None) -> tuple | None:
             for j in range(PIVOTS):
                 own[j] += h >> j & 1
     own_shape = _hash(form)
-    cells = [_hash(f"{own_shape}/{b}/" + ",".join(map(str, counts[b]))) for b in range(BLOCKS)]
+    # the distances of a block side by side, 7 bits each (a capped count still differs by no more than the tree)
+    cells = [sum(min(c, 127) << 7 * j for j, c in enumerate(counts[b])) for b in range(BLOCKS)]
     return (row_id, "s" + hashlib.md5(canon.encode("utf-8", "surrogatepass")).hexdigest(), own_shape, canon, *cells, *itertools.chain(*counts))
 
 
@@ -286,7 +287,7 @@ class History:
         return matches(new, self.accepted().unionByName(new)), new
 
     def append(self, new: DataFrame) -> None:
-        new.repartitionByRange("shape", "cell0").write.mode("append").parquet(self.path)
+        new.repartitionByRange("shape", *CELLS).write.mode("append").parquet(self.path)
 
 
 def repeated_keys(rows: DataFrame, id_col: str, key_col: str) -> DataFrame:
