@@ -131,3 +131,30 @@ def test_late_ticks_are_dropped_and_state_is_kept(spark, tmp_path):
     assert got == [(1.0, 3.0, 2.0), (5.0, 5.0, 1.0)]
     e = live.drain(live.stream_ema(read().select("symbol", "ts", F.col("price").alias("close")), 3))
     assert e.count() == 5 and e.where("ema is null").count() == 0
+
+
+def test_rosters_and_dates(tmp_path):
+    from tidemark.sources import rosters
+
+    r = rosters.draw_roster(["A", "B", "C", "D"], ["A"], 3, 7)
+    assert r == rosters.draw_roster(["D", "C", "B", "A"], ["A"], 3, 7) and "A" in r and len(r) == 3
+    with pytest.raises(ValueError):
+        rosters.draw_roster(["A"], ["A"], 3, 7)
+    rosters.save_roster(str(tmp_path / "r.json"), r, 7, "test")
+    assert rosters.load_roster(str(tmp_path / "r.json")) == r
+    now = dt.datetime(2024, 1, 10, tzinfo=dt.timezone.utc)
+    assert rosters.parse_since("3d", now) == dt.datetime(2024, 1, 7, tzinfo=dt.timezone.utc)
+    assert rosters.parse_since("2024-01-02", now) == dt.datetime(2024, 1, 2, tzinfo=dt.timezone.utc)
+    with pytest.raises(ValueError):
+        rosters.parse_since("yesterday", now)
+
+
+def test_reconcile_and_newest_log(spark):
+    e = spark.createDataFrame(
+        [(1, "fast", 2.0, 1.5, None, 40, 0, '{"strategy": "a"}'), (2, "fast", float("nan"), 1.5, 2.0, 40, 1, "{cut"), (3, "fast", 2.0, 1.5, 1.1, 40, 1, None), (4, "holdout", 0.0, 0.0, 0.0, 0, 1, '{"strategy": "zz"}')],
+        "id long, eval_type string, score double, median_pf double, ci_lower double, n_oos_trades int, promising int, config_json string",
+    )
+    assert {(r.id, r.was, r.now) for r in lb.reconcile(e).collect()} == {(1, 0, 1), (2, 1, 0)}
+    t = dt.datetime(2024, 1, 1)
+    logs = spark.createDataFrame([(1, t, '{"name": "a"}'), (2, t, '{"name": "a"}'), (3, t + dt.timedelta(1), '{"name": "a"'), (4, t, None)], "log_id long, timestamp timestamp, raw_tool_input string")
+    assert {(r.id, r.log_id) for r in lb.newest_log(e, logs).collect()} == {(1, 2), (2, None), (3, None), (4, None)}

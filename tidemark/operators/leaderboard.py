@@ -118,3 +118,31 @@ def unknown_rows(fresh: DataFrame, known: DataFrame, keys: list[str]) -> DataFra
     for k in keys[1:]:
         cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     return a.join(b, cond, "left_anti")
+
+
+def reconcile(evaluations: DataFrame, *, score: float = 1.5, median_pf: float = 1.2, ci_lower: float = 1.0, n_trades: int = 30) -> DataFrame:
+    """Fast evaluations whose stored verdict differs from the thresholds' (id, was, now).
+
+    A missing ci_lower passes; a missing or NaN score or profit factor, and missing trades, do not.
+    """
+    above = lambda c, limit: F.coalesce(~F.isnan(c) & (F.col(c) > limit), F.lit(False))
+    now = above("score", score) & above("median_pf", median_pf) & (F.col("ci_lower").isNull() | above("ci_lower", ci_lower)) & F.coalesce(F.col("n_oos_trades") >= n_trades, F.lit(False))
+    d = evaluations.where("eval_type = 'fast'").select("id", F.col("promising").alias("was"), now.cast("int").alias("now"))
+    return d.where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def newest_log(evaluations: DataFrame, logs: DataFrame) -> DataFrame:
+    """For each evaluation the newest readable log of a strategy with its name (id, log_id); none gives null.
+
+    The logs are reduced to one per name before the join.
+    """
+    name = lambda c: F.try_variant_get(F.try_parse_json(c), "$.name", "string")
+    by_name = logs.select(name("raw_tool_input").alias("name"), "log_id", "timestamp").where("name is not null")
+    newest = by_name.groupBy("name").agg(F.max_by("log_id", F.struct("timestamp", "log_id")).alias("log_id"))
+    e = evaluations.select("id", F.try_variant_get(F.try_parse_json("config_json"), "$.strategy", "string").alias("name"))
+    return e.join(newest, "name", "left").select("id", "log_id")
+
+
+def monthly_cost(generations: DataFrame, at: str) -> DataFrame:
+    """Cost and number of generations per month of a date column."""
+    return generations.groupBy(F.date_format(at, "yyyy-MM").alias("month")).agg(F.sum("cost_usd").alias("cost"), F.count("*").alias("n"))

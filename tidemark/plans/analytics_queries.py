@@ -13,6 +13,7 @@ from tidemark.functions.indicators import Indicator, add_indicators, bar_window,
 from tidemark.operators import custom, metrics, quality, scoring, significance, walkforward
 from tidemark.operators.backtest import BacktestConfig, backtest_signals, run_custom
 from tidemark.operators.resample import resample, ticks_to_bars
+from tidemark.plans import pipeline
 from tidemark.plans.inputs import DAILY_SQL, SESSION_SQL, daily_bars, event_ticks, session_bars
 from tidemark.session import cut, table
 from tidemark.sources import bars as src
@@ -211,6 +212,12 @@ def q_score(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(s.select("strategy", "median_pf", "std_pf", "ci_lower", "n_trades", "score", "reported_score", F.array_join(F.transform("failed", lambda x: x.getField("name")), ",").alias("failed_names"), "promising"), "median_pf", "std_pf", "ci_lower", "score", "reported_score", places=5)
 
 
+def q_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    config = pipeline.EvaluationConfig(WINDOWS, DAILY, n_bootstrap=200, m_baseline=20)
+    s, _, _ = pipeline.evaluate(daily_bars(spark, d), DIPS, {"low": [35.0, 45.0], "high": [55.0, 65.0]}, config)
+    return _rounded(s.drop("failed"), "median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score")
+
+
 def q_opening_range(spark: SparkSession, d: str) -> DataFrame:
     return run_custom(session_bars(spark, d), ["symbol"], custom.OpeningRange, INTRADAY)
 

@@ -83,6 +83,21 @@ def lb_unknown(spark: SparkSession, d: str) -> DataFrame:
     return lb.unknown_rows(e.where("batch_no > 8"), e.where("batch_no <= 8"), ["strategy_hash", "eval_type", "evaluated_at"])
 
 
+def lb_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    return lb.reconcile(_t(spark, d, "evaluations"))
+
+
+def lb_newest_log(spark: SparkSession, d: str) -> DataFrame:
+    r = lb.newest_log(_t(spark, d, "evaluations"), _t(spark, d, "generation_logs"))
+    return r.withColumn("log_id", F.coalesce("log_id", F.lit(-1)))
+
+
+def lb_monthly_cost(spark: SparkSession, d: str) -> DataFrame:
+    g = _t(spark, d, "generations").withColumn("at", F.expr("try_cast(substring(generated_at, 1, 10) as date)"))
+    g = g.where(F.col("at").isNotNull() & F.col("generated_at").rlike("^[0-9]{4}-"))
+    return lb.monthly_cost(g, "at").withColumn("cost", F.round("cost", 6))
+
+
 def lb_baskets(spark: SparkSession, d: str) -> DataFrame:
     return scoring.basket_hash(_t(spark, d, "bars_5m"), ["asset_class"])
 
@@ -118,5 +133,13 @@ GROUP BY 1 HAVING max(ci_lower) >= 0.5 AND max(n_oos_trades) >= 30""",
   arg_max(name, (first_generated_at, strategy_id)) AS name, md5(arg_max(spec_json, (first_generated_at, strategy_id))) AS spec_md5 FROM strategies GROUP BY 1""",
     "lb_unknown": """SELECT id, strategy_hash, eval_type, evaluated_at, batch_no FROM evaluations a WHERE batch_no > 8 AND NOT EXISTS (SELECT 1 FROM evaluations b WHERE b.batch_no <= 8
   AND a.strategy_hash IS NOT DISTINCT FROM b.strategy_hash AND a.eval_type IS NOT DISTINCT FROM b.eval_type AND a.evaluated_at IS NOT DISTINCT FROM b.evaluated_at)""",
+    "lb_reconcile": """WITH x AS (SELECT id, promising AS was, CAST(coalesce(score::VARCHAR <> 'nan' AND score > 1.5, FALSE) AND coalesce(median_pf::VARCHAR <> 'nan' AND median_pf > 1.2, FALSE)
+  AND (ci_lower IS NULL OR (ci_lower::VARCHAR <> 'nan' AND ci_lower > 1.0)) AND coalesce(n_oos_trades >= 30, FALSE) AS INT) AS now FROM evaluations WHERE eval_type = 'fast')
+SELECT * FROM x WHERE was IS DISTINCT FROM now""",
+    "lb_newest_log": """WITH l AS (SELECT json_extract(raw_tool_input, '$.name') AS name, arg_max(log_id, (timestamp, log_id)) AS log_id FROM (SELECT * FROM generation_logs WHERE raw_tool_input IS NOT NULL AND json_valid(raw_tool_input)) GROUP BY 1),
+e AS (SELECT id, CASE WHEN json_valid(config_json) THEN json_extract(config_json, '$.strategy') END AS name FROM evaluations)
+SELECT id, coalesce(log_id, -1) AS log_id FROM e LEFT JOIN l USING (name)""",
+    "lb_monthly_cost": """SELECT strftime(try_cast(substring(generated_at, 1, 10) AS DATE), '%Y-%m') AS month, round(sum(cost_usd), 6) AS cost, count(*) AS n
+FROM generations WHERE try_cast(substring(generated_at, 1, 10) AS DATE) IS NOT NULL AND regexp_matches(generated_at, '^[0-9]{4}-') GROUP BY 1""",
     "lb_baskets": "SELECT asset_class, substring(sha256(string_agg(DISTINCT symbol, ',' ORDER BY symbol)), 1, 12) AS basket_hash, count(DISTINCT symbol) AS n_symbols FROM bars_5m GROUP BY 1",
 }
