@@ -8,6 +8,8 @@ A table of aliases gives the casts that read all files into one schema.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,18 @@ def json_type(v: Column) -> Column:
 
 def _exploded(df: DataFrame, v: str, key: str, value: str, kind: str, keep: list[str]) -> DataFrame:
     """Members (kind object) or elements (kind array) of the variant column v; other values give no rows."""
-    view = f"__tidemark_{key}"
-    df.createOrReplaceTempView(view)
     wanted = f"if(schema_of_variant({v}) like '{kind}%', {v}, null)"
-    return df.sparkSession.sql(
-        f"select {', '.join(keep)}, e.key as {key}, e.value as {value} from {view}, lateral variant_explode({wanted}) as e"
-    )
+    return _lateral(df, f"{', '.join(keep)}, e.key as {key}, e.value as {value}", wanted)
+
+
+def _lateral(df: DataFrame, columns: str, exploded: str) -> DataFrame:
+    """Select from df and, as e, the exploded variant; the table function is there in SQL only."""
+    view = f"tidemark_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    try:
+        return df.sparkSession.sql(f"select {columns} from {view}, lateral variant_explode({exploded}) as e")
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
 
 
 def file_paths(df: DataFrame, column: str, kind: str) -> DataFrame:
@@ -171,11 +179,7 @@ def gates_table(evaluations: DataFrame) -> DataFrame:
 
 
 def _exploded_pos(df: DataFrame, keep: list[str]) -> DataFrame:
-    df.createOrReplaceTempView("__tidemark_gates")
-    return df.sparkSession.sql(
-        f"select {', '.join(keep)}, e.pos as pos, e.value as x from __tidemark_gates, "
-        "lateral variant_explode(if(schema_of_variant(v) like 'ARRAY%', v, null)) as e"
-    )
+    return _lateral(df, f"{', '.join(keep)}, e.pos as pos, e.value as x", "if(schema_of_variant(v) like 'ARRAY%', v, null)")
 
 
 def tool_table(logs: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def q_buffer_indicators(spark: SparkSession, d: str) -> DataFrame:
 
 def q_crypto_indicators(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "bars_5m").where("asset_class != 'stocks' and close is not null and not isnan(close)")
-    b = resample(b.select(F.col("feed").alias("symbol"), F.col("time").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume"), "15m", order=["close", "open", "high", "low", "volume"])
+    b = resample(b.select(F.col("feed").alias("symbol"), src.local("time", "UTC").alias("ts"), "open", "high", "low", "close", "volume"), "15m", order=["close", "open", "high", "low", "volume"])
     x = over_long_series(b, [Indicator("sma_10", "sma", {"period": 10}), Indicator("roc_5", "roc", {"period": 5})], rows=400)
     return _rounded(x.select("symbol", "ts", "close", "sma_10", "roc_5"), "close", "sma_10", "roc_5")
 
@@ -272,7 +272,7 @@ def q_stream_bars(spark: SparkSession, d: str) -> DataFrame:
     ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
     ticks = ev.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
     out = live.drain(live.stream_bars(ticks, "1h", "1 hour"))
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))  # as it was read: wall time
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}

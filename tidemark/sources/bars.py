@@ -39,7 +39,7 @@ class LandedJsonProvider(BarProvider):
 def local(ts: Column | str, zone: str = MARKET_ZONE) -> Column:
     """Wall time without zone, in a zone, of an instant."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.from_utc_timestamp(ts, zone).cast("timestamp_ntz")
+    return F.convert_timezone(None, F.lit(zone), ts)  # whatever the session's zone
 
 
 def aggregates_to_bars(payload: DataFrame, symbol: str, zone: str = MARKET_ZONE) -> DataFrame:
@@ -57,7 +57,7 @@ def aggregates_to_bars(payload: DataFrame, symbol: str, zone: str = MARKET_ZONE)
 def rest_rows_to_bars(rows: DataFrame, symbol: str) -> DataFrame:
     """Rows (time in seconds UTC, open, high, low, close, vwap, volume, count) as bars in UTC."""
     return rows.select(
-        F.lit(symbol).alias("symbol"), F.timestamp_seconds("time").cast("timestamp_ntz").alias("ts"),
+        F.lit(symbol).alias("symbol"), local(F.timestamp_seconds("time"), "UTC").alias("ts"),
         *[F.col(c).cast("double").alias(c) for c in OHLCV],
     )
 
