@@ -7,41 +7,26 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import TIMEFRAMES
 
-EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
-
-def bucket(ts: str, timeframe: str, origin: str | None = None) -> Column:
-    """Left edge of the bucket of a wall time; 4h counts from ``origin`` (the first bar's midnight) if given.
-
-    Multiples below a day divide it, so buckets follow the wall clock; a day is a calendar day.
-    """
-    seconds = TIMEFRAMES[timeframe]
+def bucket(ts: str, timeframe: str) -> Column:
+    """Left edge of the bucket of a wall time, counted from midnight; a day is a calendar day."""
     if timeframe == "1d":
         return F.date_trunc("DAY", F.col(ts)).cast("timestamp_ntz")
-    start = origin or EPOCH
-    past = f"timestampdiff(MICROSECOND, {start}, {ts})"
-    return F.expr(f"timestampadd(MICROSECOND, {past} - pmod({past}, {seconds * 1_000_000}), {start})")
+    # every shorter timeframe divides a day, so edges counted from the epoch are those from midnight
+    return F.window(ts, f"{TIMEFRAMES[timeframe]} seconds")["start"]
 
 
-def resample(bars: DataFrame, timeframe: str, *, anchored: bool = False, order: list[str] | None = None) -> DataFrame:
+def resample(bars: DataFrame, timeframe: str, *, order: list[str] | None = None) -> DataFrame:
     """OHLCV of left-closed, left-labelled buckets: first open, highest high, lowest low, last close, sum of volume.
 
-    Empty buckets give no row.  Null opens and closes are skipped, as are nulls in the
-    other columns; a bucket whose closes are all null is dropped.  Ties in time are broken by ``order``.
-    With ``anchored`` the buckets of each symbol count from its first bar's midnight.
-    The aggregation is partial before its only shuffle.
+    Buckets follow the wall clock from midnight.  Empty buckets give no row, rows without time are dropped.  Null opens and closes are
+    skipped, as are nulls in the other columns; a bucket whose closes are all null is dropped.
+    Ties in time are broken by ``order``.  The aggregation is partial before its only shuffle.
     """
-    d = bars
-    if anchored and timeframe != "1d":
-        first = bars.groupBy("symbol").agg(F.date_trunc("DAY", F.min("ts")).cast("timestamp_ntz").alias("__origin"))
-        d = bars.join(first, "symbol")
-        b = bucket("ts", timeframe, "__origin")
-    else:
-        b = bucket("ts", timeframe)
     # a plain time keeps the aggregation a hash aggregation; ties need a struct, and a sort
     at = F.struct("ts", *order) if order else F.col("ts")
     some = lambda c: F.when(F.col(c).isNotNull(), at)
-    out = d.groupBy("symbol", b.alias("bucket")).agg(
+    out = bars.where("ts is not null").withColumn("bucket", bucket("ts", timeframe)).groupBy("symbol", "bucket").agg(
         F.min_by("open", some("open")).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", some("close")).alias("close"), F.sum("volume").alias("volume"),
     )

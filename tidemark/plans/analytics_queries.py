@@ -83,8 +83,8 @@ def dips_trades(spark: SparkSession, d: str) -> DataFrame:
     return backtest_signals(dips_ready(spark, d), ["symbol"], DAILY)
 
 
-def bands_trades(spark: SparkSession, d: str) -> DataFrame:
-    b = session_bars(spark, d).withColumn("session", F.to_date("ts"))
+def bands_trades(bars: DataFrame) -> DataFrame:
+    b = bars.withColumn("session", F.to_date("ts"))
     return backtest_signals(with_flags(add_indicators(b, ["symbol", "session"], BANDS.indicators), BANDS), ["symbol"], INTRADAY)
 
 
@@ -104,7 +104,7 @@ def q_hourly_bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_four_hour_bars(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(resample(session_bars(spark, d), "4h", anchored=True), *PRICES)
+    return _rounded(resample(session_bars(spark, d), "4h"), *PRICES)
 
 
 def q_indicators(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +152,7 @@ def q_trades(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_session_trades(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(bands_trades(spark, d).select(TRADE_COLS), "entry_price", "exit_price", "pnl", "pnl_pct")
+    return _rounded(bands_trades(session_bars(spark, d)).select(TRADE_COLS), "entry_price", "exit_price", "pnl", "pnl_pct")
 
 
 def q_trade_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +202,8 @@ def q_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return significance.random_baseline(cut(session_bars(spark, d)), cut(bands_trades(spark, d)), trials=50)
+    bars = cut(session_bars(spark, d))
+    return significance.random_baseline(bars, cut(bands_trades(bars)), trials=50)
 
 
 def q_score(spark: SparkSession, d: str) -> DataFrame:

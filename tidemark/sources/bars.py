@@ -39,7 +39,9 @@ class LandedJsonProvider(BarProvider):
 def local(ts: Column | str, zone: str = MARKET_ZONE) -> Column:
     """Wall time without zone, in a zone, of an instant."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.convert_timezone(None, F.lit(zone), ts)  # whatever the session's zone
+    # by microseconds, so that the session's zone has no part in it
+    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(F.from_utc_timestamp(ts, zone)), epoch)
 
 
 def aggregates_to_bars(payload: DataFrame, symbol: str, zone: str = MARKET_ZONE) -> DataFrame:
