@@ -90,6 +90,42 @@ def test_one_table_from_all_files(spark):
     assert [(r.id, r.name, r.deficit) for r in got] == [(1, "g", "0.5"), (1, "plain", None)]
 
 
+def test_every_catalogued_path_reaches_the_table(spark):
+    config = [
+        (1, "s", 1, '{"strategy": "a", "git_dirty": true, "tags": ["n"], "new": {"deep": {"er": 1}}, "backtest_config": {"bar_timeframe": "5m", "unseen": [1]}, "odd.name": null}'),
+        (2, "s", 2, '{"walk_forward": {"min_trades_for_objective": 30}, "walk_config": "{\\"embargo_days\\": 3, \\"fresh\\": \\"x\\"}", "strategy": "a", "strategy_name": "b"}'),
+        (3, "s", 3, '{"walk_config": "no json", "backtest_config": [1], "walk_forward": null, "strategy": "a", "strategy_name": "a"}'), (4, "s", 4, "[7]"), (5, "s", 5, "{cut"),
+    ]
+    d = spark.createDataFrame(config, "id long, stream string, file_no int, config_json string")
+    got = {r.id: r for r in drift.config_table(d).collect()}
+    assert (got[1].git_dirty, got[1].tags, got[1].bar_timeframe, got[2].min_trades_for_objective, got[2].embargo_days) == (True, '["n"]', "5m", 30, 3)
+    rest = {i: [tuple(x) for x in r.rest] for i, r in got.items()}
+    assert rest == {
+        1: [("backtest_config.unseen", "[1]"), ("new", '{"deep":{"er":1}}'), ("odd.name", "null")], 2: [("strategy_name", '"b"'), ("walk_config.fresh", '"x"')],
+        3: [("backtest_config", "[1]"), ("walk_config", '"no json"')], 4: [("$", "[7]")], 5: [],
+    }
+    tool = [(1, "s", 1, '{"name": "n", "notes": "t", "reviewed": true, "confidence": 0.5, "later": [{"a": 1}]}')]
+    t = spark.createDataFrame(tool, "log_id long, stream string, file_no int, raw_tool_input string")
+    r = drift.tool_table(t).first()
+    assert (r.notes, r.reviewed, r.confidence, [tuple(x) for x in r.rest]) == ("t", True, 0.5, [("later", '[{"a":1}]')])
+    gates = spark.createDataFrame([(1, "s", 1, '[{"gate": "g", "more": 1}, "plain", 5]')], "id long, stream string, file_no int, failed_gates string")
+    g = drift.gates_table(gates).orderBy("pos").collect()
+    assert [(x.name, [tuple(y) for y in x.rest]) for x in g] == [("g", [("more", "1")]), ("plain", []), (None, [("$", "5")])]
+
+
+def test_every_path_of_the_files_reaches_the_table(spark, data):
+    ev, logs = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("evaluations", "generation_logs"))
+    for df, column, kind, aliases, read in (
+        (ev, "config_json", drift.NESTED, drift.CONFIG_ALIASES, drift.config_table), (ev, "failed_gates", drift.ELEMENTS, drift.GATE_ALIASES, drift.gates_table),
+        (logs, "raw_tool_input", drift.MEMBERS, drift.TOOL_ALIASES, drift.tool_table),
+    ):
+        there = {r.json_path.removeprefix("[].") for r in drift.file_paths(df, column, kind).select("json_path").distinct().collect()}
+        kept = {p for _, _, paths in aliases for p in paths} | {r.path for r in read(df).selectExpr("explode(rest.path) as path").distinct().collect()}
+        whole = lambda p: p in kept or p.partition(".")[0].partition("[")[0] in kept  # noqa: E731  a value is there with all below it
+        section = lambda p: p == "[]" or any(x.startswith(f"{p}.") for x in kept)  # noqa: E731  or by its members
+        assert there and [p for p in there if not whole(p) and not section(p)] == []
+
+
 # ---- gridding
 
 

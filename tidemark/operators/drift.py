@@ -3,7 +3,8 @@
 Every file's members and their JSON types are exploded into a catalogue of one
 row per (producer, file, path).  Lags over the files of a producer and path give
 islands of presence; their starts and ends, and changes of type, are the log.
-A table of aliases gives the casts that read all files into one schema.
+A table of aliases gives the casts that read all files into one schema; members
+that no alias names are carried in the column ``rest``.
 """
 
 from __future__ import annotations
@@ -99,6 +100,8 @@ def field_changes(df: DataFrame, column: str, kind: str) -> DataFrame:
     return log.select(F.lit(column).alias("field"), "stream", F.col("e.file_no").cast("int").alias("file_no"), "json_path", F.col("e.change").alias("change"))
 
 
+#: Type of the members that no column holds.
+ENTRIES = "array<struct<path:string,value:string>>"
 #: One row per column of the consistent tables: name, type, paths under which files hold it.
 CONFIG_ALIASES = (
     ("strategy", "string", ("strategy", "strategy_name")),
@@ -109,13 +112,18 @@ CONFIG_ALIASES = (
     ("test_window_months", "bigint", ("walk_forward.test_window_months", "walk_config.test_window_months")),
     ("step_months", "bigint", ("walk_forward.step_months", "walk_config.step_months", "step_months")),
     ("parameter_grid", "string", ("walk_forward.parameter_grid", "walk_config.parameter_grid")),
+    ("min_trades_for_objective", "bigint", ("walk_forward.min_trades_for_objective", "walk_config.min_trades_for_objective")),
+    ("embargo_days", "bigint", ("walk_forward.embargo_days", "walk_config.embargo_days")),
     ("starting_capital", "double", ("backtest_config.starting_capital", "backtest_config.capital")),
     ("commission", "string", ("backtest_config.commission",)),
     ("slippage", "string", ("backtest_config.slippage", "slippage")),
     ("realistic_fills", "boolean", ("backtest_config.realistic_fills",)),
     ("session_class", "string", ("backtest_config.session_class", "backtest_config.sessionClass")),
+    ("bar_timeframe", "string", ("backtest_config.bar_timeframe",)),
     ("seed", "bigint", ("seed",)),
     ("engine_version", "string", ("engine_version",)),
+    ("git_dirty", "boolean", ("git_dirty",)),
+    ("tags", "string", ("tags",)),
 )
 GATE_ALIASES = (
     ("name", "string", ("name", "gate")),
@@ -139,43 +147,95 @@ TOOL_ALIASES = (
     ("exit_long", "string", ("exit_long",)),
     ("exit_short", "string", ("exit_short",)),
     ("position_sizing", "string", ("position_sizing", "sizing")),
+    ("notes", "string", ("notes",)),
+    ("reviewed", "boolean", ("reviewed",)),
+    ("confidence", "double", ("confidence",)),
 )
 
 
-def unified(v: Column, aliases: tuple) -> list[Column]:
-    """The columns of the consistent table from a variant, as casts generated from the alias table.
+def _is(kind: str, v: Column) -> Column:
+    return F.schema_of_variant(v).startswith(kind)
+
+
+def _members(v: Column, prefix: str, listed: list[str]) -> Column:
+    """(path, value as JSON) of the members of an object that are not listed; an empty array for other values."""
+    by_name = F.map_entries(F.try_variant_get(F.when(_is("OBJECT", v), v), "$", "map<string,variant>"))
+    entry = lambda e: F.struct(F.concat(F.lit(prefix), e["key"]).alias("path"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value"))
+    return F.coalesce(F.transform(F.filter(by_name, lambda e: ~e["key"].isin(listed)), entry), F.array().cast(ENTRIES))
+
+
+def _whole(path: str, v: Column, cond: Column) -> Column:
+    """The value v under its path, where cond holds, as an array of one."""
+    return F.when(cond, F.array(F.struct(F.lit(path).alias("path"), F.to_json(v).alias("value")))).otherwise(F.array().cast(ENTRIES))
+
+
+def _parts(aliases: tuple) -> dict[str, list[str]]:
+    """Listed members of each section, and of the top under the empty name."""
+    parts: dict[str, list[str]] = {"": []}
+    for path in [p for _, _, paths in aliases for p in paths]:
+        head, dot, tail = path.partition(".")
+        parts.setdefault(head if dot else "", []).append(tail if dot else head)
+    return parts
+
+
+def _sections(df: DataFrame, aliases: tuple) -> DataFrame:
+    """df with each section of the variant v as a column; a section stored as text is parsed."""
+    for name in _parts(aliases):
+        if name:
+            x = F.try_variant_get("v", f"$.{name}", "variant")
+            text = F.try_parse_json(F.when(_is("STRING", x), F.try_variant_get(x, "$", "string")))
+            df = df.withColumn(f"section_{name}", F.coalesce(text, x))
+    return df
+
+
+def _found(path: str) -> tuple[Column, str]:
+    """The variant that holds an alias and the path within it."""
+    head, dot, tail = path.partition(".")
+    return (F.col(f"section_{head}"), f"$.{tail}") if dot else (F.col("v"), f"$.{path}")
+
+
+def unified(aliases: tuple, top: bool = True) -> list[Column]:
+    """The columns of the consistent table from the variant v, as casts generated from the alias table, and rest.
 
     The first alias with a value wins.  A value that the type cannot hold becomes
-    null; objects and arrays read as strings are their JSON.  A walk or sizing
-    section stored as text is parsed first by ``parsed_sections``.
+    null; objects and arrays read as strings are their JSON.  rest holds, as (path, JSON)
+    in order of the path, what no column holds: members that no alias names, with
+    all below them, aliases whose value differs from the one that won, sections that
+    are no objects (by their name) and, if ``top``, a value that is no object (as ``$``).
+    Reads the columns of ``_sections``.
     """
-    return [
-        F.coalesce(*[F.try_variant_get(v, "$." + p, kind) for p in paths]).alias(name) for name, kind, paths in aliases
-    ]
+    parts = _parts(aliases)
+    columns, rest = [], []
+    for name, kind, paths in aliases:
+        values = [F.try_variant_get(*_found(p), kind) for p in paths]
+        columns.append(F.coalesce(*values).alias(name))
+        for k in range(1, len(paths)):
+            other = values[k] != F.coalesce(*values[:k])
+            rest.append(_whole(paths[k], F.try_variant_get(*_found(paths[k]), "variant"), other))
+    for section, listed in parts.items():
+        if section:
+            x = F.col(f"section_{section}")
+            rest += [_members(x, f"{section}.", listed), _whole(section, x, ~_is("OBJECT", x) & ~_is("VOID", x))]
+    rest.append(_members(F.col("v"), "", [*parts[""], *filter(None, parts)]))
+    if top:
+        rest.append(_whole("$", F.col("v"), ~_is("OBJECT", F.col("v"))))
+    return [*columns, F.sort_array(F.concat(*rest)).alias("rest")]
 
 
 def config_table(evaluations: DataFrame) -> DataFrame:
-    """evaluations.config_json of all files in one schema; invalid JSON gives a row of nulls with valid = false."""
-    v = F.try_parse_json("config_json")
-    d = evaluations.select("id", "stream", "file_no", v.alias("v"))
-    walk = F.try_parse_json(F.coalesce(F.try_variant_get("v", "$.walk_config", "string"), F.try_variant_get("v", "$.walk_forward", "string")))
-    cols = []
-    for name, kind, paths in CONFIG_ALIASES:
-        found = [F.try_variant_get("v", "$." + p, kind) for p in paths]
-        if any(p.startswith("walk_") for p in paths):
-            found.append(F.try_variant_get(F.col("walk"), "$." + paths[0].partition(".")[2], kind))
-        cols.append(F.coalesce(*found).alias(name))
-    return d.withColumn("walk", walk).select("id", "stream", "file_no", F.col("v").isNotNull().alias("valid"), *cols)
+    """evaluations.config_json of all files in one schema; invalid JSON gives a row of nulls with valid = false and an empty rest."""
+    d = _sections(evaluations.select("id", "stream", "file_no", F.try_parse_json("config_json").alias("v")), CONFIG_ALIASES)
+    return d.select("id", "stream", "file_no", F.col("v").isNotNull().alias("valid"), *unified(CONFIG_ALIASES))
 
 
 def gates_table(evaluations: DataFrame) -> DataFrame:
     """evaluations.failed_gates, one row per element; an element that is a text is its name."""
     d = evaluations.select("id", "stream", "file_no", F.try_parse_json("failed_gates").alias("v")).where("v is not null")
-    e = _exploded_pos(d, ["id", "stream", "file_no"])
-    cols = unified(F.col("x"), GATE_ALIASES)
-    whole = F.when(F.schema_of_variant("x") == "STRING", F.try_variant_get("x", "$", "string"))
-    cols[0] = F.coalesce(F.try_variant_get("x", "$.name", "string"), F.try_variant_get("x", "$.gate", "string"), whole).alias("name")
-    return e.select("id", "stream", "file_no", "pos", *cols)
+    e = _exploded_pos(d, ["id", "stream", "file_no"]).withColumnRenamed("x", "v")
+    text = F.when(_is("STRING", F.col("v")), F.try_variant_get("v", "$", "string"))
+    name, *cols, rest = unified(GATE_ALIASES, top=False)
+    other = _whole("$", F.col("v"), ~_is("OBJECT", F.col("v")) & ~_is("STRING", F.col("v")))
+    return e.select("id", "stream", "file_no", "pos", F.coalesce(name, text).alias("name"), *cols, F.concat(rest, other).alias("rest"))
 
 
 def _exploded_pos(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -183,11 +243,9 @@ def _exploded_pos(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def tool_table(logs: DataFrame) -> DataFrame:
-    """generation_logs.raw_tool_input of all files in one schema."""
-    v = F.try_parse_json("raw_tool_input")
-    return logs.select("log_id", "stream", "file_no", v.alias("v")).select(
-        "log_id", "stream", "file_no", F.col("v").isNotNull().alias("valid"), *unified(F.col("v"), TOOL_ALIASES)
-    )
+    """generation_logs.raw_tool_input of all files in one schema; invalid JSON as in config_table."""
+    d = logs.select("log_id", "stream", "file_no", F.try_parse_json("raw_tool_input").alias("v"))
+    return d.select("log_id", "stream", "file_no", F.col("v").isNotNull().alias("valid"), *unified(TOOL_ALIASES))
 
 
 def all_changes(evaluations: DataFrame, logs: DataFrame) -> DataFrame:
