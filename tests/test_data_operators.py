@@ -113,6 +113,24 @@ def test_every_catalogued_path_reaches_the_table(spark):
     assert [(x.name, [tuple(y) for y in x.rest]) for x in g] == [("g", [("more", "1")]), ("plain", []), (None, [("$", "5")])]
 
 
+def test_numbers_stored_as_text(spark):
+    config = [
+        (1, '{"backtest_config": {"starting_capital": "10,000.00"}, "n_bootstrap": "1,000", "seed": "42.0"}'), (2, '{"backtest_config": {"capital": " 1,234,567.5 "}, "seed": 42.0}'),
+        (3, '{"backtest_config": {"starting_capital": "10.000,00", "capital": 5, "realistic_fills": "perhaps"}, "seed": 4.5, "n_bootstrap": [1], "m_baseline": null}'),
+        (4, '{"backtest_config": {"starting_capital": "1,00", "realistic_fills": "yes"}, "seed": "9007199254740993"}'),
+    ]
+    d = spark.createDataFrame([(i, "s", i, c) for i, c in config], "id long, stream string, file_no int, config_json string")
+    got = {r.id: r for r in drift.config_table(d).collect()}
+    assert [(got[i].starting_capital, got[i].n_bootstrap, got[i].seed, got[i].realistic_fills) for i in (1, 2, 3, 4)] == [
+        (10000.0, 1000, 42, None), (1234567.5, None, 42, None), (5.0, None, None, None), (None, None, 9007199254740993, True),
+    ]
+    assert {i: [tuple(x) for x in r.unread] for i, r in got.items()} == {
+        1: [], 2: [], 3: [("backtest_config.realistic_fills", '"perhaps"'), ("backtest_config.starting_capital", '"10.000,00"'), ("n_bootstrap", "[1]"), ("seed", "4.5")],
+        4: [("backtest_config.starting_capital", '"1,00"')],
+    }
+    assert all(r.rest == [] for r in got.values())
+
+
 def test_every_path_of_the_files_reaches_the_table(spark, data):
     ev, logs = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("evaluations", "generation_logs"))
     for df, column, kind, aliases, read in (

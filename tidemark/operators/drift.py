@@ -100,6 +100,8 @@ def field_changes(df: DataFrame, column: str, kind: str) -> DataFrame:
     return log.select(F.lit(column).alias("field"), "stream", F.col("e.file_no").cast("int").alias("file_no"), "json_path", F.col("e.change").alias("change"))
 
 
+#: A number in text with separators of thousands.
+THOUSANDS = r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]*)?$"
 #: Type of the members that no column holds.
 ENTRIES = "array<struct<path:string,value:string>>"
 #: One row per column of the consistent tables: name, type, paths under which files hold it.
@@ -194,21 +196,42 @@ def _found(path: str) -> tuple[Column, str]:
     return (F.col(f"section_{head}"), f"$.{tail}") if dot else (F.col("v"), f"$.{path}")
 
 
+def _read(v: Column, path: str, kind: str) -> Column:
+    """The value at the path as the column's type, cast by the type it is stored in.
+
+    Numbers stored as text may have separators of thousands (10,000.00) and blanks around them.
+    A number with a fraction is not a bigint.
+    """
+    value = F.try_variant_get(v, path, kind)
+    if kind not in ("bigint", "double"):
+        return value
+    text = F.trim(F.try_variant_get(v, path, "string"))
+    number = F.when(text.rlike(THOUSANDS), F.replace(text, F.lit(","), F.lit(""))).otherwise(text).try_cast("double")
+    if kind == "double":
+        return F.coalesce(value, number)
+    return F.when(number != F.floor(number), None).otherwise(F.coalesce(value, F.when(F.abs(number) < 2.0**53, number.try_cast("bigint"))))
+
+
 def unified(aliases: tuple, top: bool = True) -> list[Column]:
-    """The columns of the consistent table from the variant v, as casts generated from the alias table, and rest.
+    """The columns of the consistent table from the variant v, as casts generated from the alias table, unread and rest.
 
-    The first alias with a value wins.  A value that the type cannot hold becomes
-    null; objects and arrays read as strings are their JSON.  rest holds, as (path, JSON)
-    in order of the path, what no column holds: members that no alias names, with
+    The first alias with a value wins.  A value that the type cannot hold is null
+    in its column and is listed in unread, as (path, JSON) in order of the path; objects
+    and arrays read as strings are their JSON.  rest holds, in the same form,
+    what else no column holds: members that no alias names, with
     all below them, aliases whose value differs from the one that won, sections that
     are no objects (by their name) and, if ``top``, a value that is no object (as ``$``).
     Reads the columns of ``_sections``.
     """
     parts = _parts(aliases)
-    columns, rest = [], []
+    columns, unread, rest = [], [], []
     for name, kind, paths in aliases:
-        values = [F.try_variant_get(*_found(p), kind) for p in paths]
+        values = [_read(*_found(p), kind) for p in paths]
         columns.append(F.coalesce(*values).alias(name))
+        for path, value in zip(paths, values):
+            x = F.try_variant_get(*_found(path), "variant")
+            if kind != "string":
+                unread.append(_whole(path, x, value.isNull() & ~_is("VOID", x)))
         for k in range(1, len(paths)):
             other = values[k] != F.coalesce(*values[:k])
             rest.append(_whole(paths[k], F.try_variant_get(*_found(paths[k]), "variant"), other))
@@ -219,7 +242,7 @@ def unified(aliases: tuple, top: bool = True) -> list[Column]:
     rest.append(_members(F.col("v"), "", [*parts[""], *filter(None, parts)]))
     if top:
         rest.append(_whole("$", F.col("v"), ~_is("OBJECT", F.col("v"))))
-    return [*columns, F.sort_array(F.concat(*rest)).alias("rest")]
+    return [*columns, F.sort_array(F.concat(*unread)).alias("unread"), F.sort_array(F.concat(*rest)).alias("rest")]
 
 
 def config_table(evaluations: DataFrame) -> DataFrame:
