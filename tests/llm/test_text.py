@@ -132,6 +132,16 @@ def test_leaks_against_brute_force(spark):
     assert len({(r.item_id, r.doc_id) for r in rows}) == len(rows)
 
 
+def test_a_passage_broken_over_neighbouring_rows(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(30)]
+    stray = " ".join(words[:3])  # a shared q-gram at the end of the row before, on the same diagonal
+    texts = [" ".join(words[:15]), " ".join(words[15:]), "zz", "yy " + stray, " ".join(words[3:18]), None, " ".join(words[:14]), " ".join(words[14:])]
+    items = [(1, " ".join(words))]
+    found = leaks.leaks(docs(spark, texts).coalesce(1), spark.createDataFrame(items, "item_id long, passage string")).where("longest_run >= 15").collect()
+    assert {(r.item_id, r.doc_id) for r in found} == brute(texts, items) == {(1, 0), (1, 1), (1, 4), (1, 7)}
+
+
 def test_a_changed_character_is_still_found(spark):
     rng = random.Random(4)
     passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(30))

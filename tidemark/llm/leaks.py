@@ -5,7 +5,7 @@ q-grams of the passages form one index; the texts of a chunk are looked up at ev
 position at once.  Shared q-grams are counted per passage in overlapping diagonal
 bands; by the q-gram lemma a band with a run of ``min_words`` words within the edit
 budget holds at least length - q + 1 - q * edits of them.  Bands that reach this
-bound are verified by a banded word alignment.  The corpus is never shuffled: only
+bound within one text are verified by a banded word alignment.  The corpus is never shuffled: only
 the passages travel, in blocks of bounded size.
 """
 
@@ -87,8 +87,8 @@ class PassageIndex:
         self.bound = np.array(self.bounds, dtype=np.int64)
         self.length = np.array([sum(map(len, w)) + len(w) - 1 for w in self.words], dtype=np.int64)
 
-    def candidates(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(passage, first place, last place) of each band that meets its bound."""
+    def candidates(self, raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(passage, first place, last place) of each band that meets its bound within one text; the texts begin at ``starts``."""
         h = _grams(raw)
         hit = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         if not len(hit) or not len(self.grams):
@@ -119,8 +119,9 @@ class PassageIndex:
             for j in np.flatnonzero(size >= self.bound[who]):
                 w = where[order[first[j] : first[j] + size[j]]]
                 w.sort()
-                # shared q-grams far apart belong to separate regions
-                for part in np.split(w, np.flatnonzero(np.diff(w) > 2 * self.length[who[j]]) + 1):
+                # shared q-grams of different texts or far apart belong to separate regions
+                text = np.searchsorted(starts, w, side="right")
+                for part in np.split(w, np.flatnonzero((np.diff(w) > 2 * self.length[who[j]]) | (np.diff(text) > 0)) + 1):
                     if len(part) < self.bound[who[j]]:
                         continue
                     cand = (int(who[j]), int(part[0]), int(part[-1]) + self.q)
@@ -204,7 +205,7 @@ def _search(index: PassageIndex, texts: list[str | None]) -> Iterator[tuple]:
     for raw, rows, starts in _chunks(texts):
         buffer = raw.tobytes()
         best: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
-        for k, first, last in index.candidates(raw):
+        for k, first, last in index.candidates(raw, starts):
             r = int(np.searchsorted(starts, first, side="right")) - 1
             pad = int(index.length[k]) + slack
             a, b = max(int(starts[r]), first - pad), min(int(starts[r + 1]) - 1, last + pad)
