@@ -86,6 +86,17 @@ def test_pieces(spark, enc):
         splitting.split_texts(docs(spark, []), limit=50, overlap=50)
 
 
+def test_a_line_that_fits_is_not_cut(spark, enc):
+    # line ends only outside the middle half: a short line, then one that fits whole into a piece
+    texts = ["a" + " b" * 140 + "\n" + "c" + " d" * 910, "a" + " b" * 910 + "\n" + "c" + " d" * 140, "a b\n" * 3 + "c" + " d" * 1500]
+    by = {}
+    for r in splitting.split_texts(docs(spark, texts)).orderBy("piece_no").collect():
+        by.setdefault(r.doc_id, []).append((r.boundary, r.first_token + r.overlap))
+    end = lambda t, line: len(enc.encode_ordinary("".join(t.splitlines(True)[:line])))
+    assert by[0] == [("start", 0), ("line", end(texts[0], 1))] and by[1] == [("start", 0), ("line", end(texts[1], 1))]
+    assert by[2][:2] == [("start", 0), ("line", end(texts[2], 3))] and {b for b, _ in by[2][2:]} == {"word"}
+
+
 # ---- leaks
 
 

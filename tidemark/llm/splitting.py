@@ -1,7 +1,8 @@
 """Cut oversized texts at natural boundaries by recursive bisection.
 
 A text of more than ``limit`` tokens is cut at the strongest boundary near its
-midpoint, and the halves again while they exceed ``limit - overlap``; then every
+midpoint (at a word or character only if it has no file, hunk, paragraph or line
+end at all), and the parts again while they exceed ``limit - overlap``; then every
 piece but the first gets the last ``overlap`` tokens before it in front.
 """
 
@@ -46,7 +47,12 @@ def boundaries(raw: bytes, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def bisect(n: int, places: list[np.ndarray], most: int) -> list[tuple[int, int, int]]:
-    """Segments (start, end, kind of the boundary at the start; -1 for the first) of at most ``most`` tokens."""
+    """Segments (start, end, kind of the boundary at the start; -1 for the first) of at most ``most`` tokens.
+
+    The strongest natural boundary in the middle half of a segment is taken, else the strongest anywhere in
+    it, else a word, character or token in the middle half; of one kind the nearest to the midpoint.
+    """
+    natural = len(BEFORE) + len(AFTER)
     done, todo = [], [(0, n, -1)]
     while todo:
         a, b, kind = todo.pop()
@@ -54,8 +60,10 @@ def bisect(n: int, places: list[np.ndarray], most: int) -> list[tuple[int, int,
             done.append((a, b, kind))
             continue
         mid, slack = (a + b) / 2, (b - a) / 4
-        lo, hi = max(a + 1, mid - slack), min(b - 1, mid + slack)
-        for k, at in enumerate(places):
+        near_mid, all_of_it = (max(a + 1, mid - slack), min(b - 1, mid + slack)), (a + 1, b - 1)
+        kinds = range(len(places))
+        for k, (lo, hi) in [*((k, near_mid) for k in kinds[:natural]), *((k, all_of_it) for k in kinds[:natural]), *((k, near_mid) for k in kinds[natural:])]:
+            at = places[k]
             i, j = np.searchsorted(at, lo), np.searchsorted(at, hi, side="right")
             if i < j:
                 near = at[i:j]
