@@ -375,3 +375,15 @@ def test_scores(spark):
     s = {r.strategy: r for r in scoring.fast_floor(scoring.failed_gates(scoring.robustness(scoring.aggregate_symbols(per, ["strategy"]), 1)), 100).collect()}
     assert s["x"].score == pytest.approx(2.5 / 1.5 * 0.95) and s["x"].promising and s["x"].failed == [] and s["x"].reported_score == 0.0
     assert [f.name for f in s["y"].failed] == ["score", "median_pf", "ci_lower", "n_trades"] and s["y"].p_value == 1.0
+
+
+def test_registered_significance_has_all_draws(monkeypatch, spark, data):
+    from tidemark.plans import analytics_queries, pipeline
+
+    seen = {}
+    real = significance.random_baseline
+    monkeypatch.setattr(analytics_queries.significance, "random_baseline", lambda bars, trades, **kw: seen.update(kw) or real(bars.limit(0), trades.limit(0), **kw))
+    monkeypatch.setattr(pipeline, "evaluate", lambda bars, spec, grid, config: seen.update(config=config) or (bars.limit(0).selectExpr(*[f"0.0D as {c}" for c in ("median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score", "failed")]), None, None))
+    analytics_queries.q_baseline(spark, data)
+    analytics_queries.q_evaluation(spark, data)
+    assert seen.get("trials", 200) == 200 and (seen["config"].n_bootstrap, seen["config"].m_baseline) == (5000, 200)

@@ -203,7 +203,7 @@ def q_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 def q_baseline(spark: SparkSession, d: str) -> DataFrame:
     bars = cut(session_bars(spark, d))
-    return significance.random_baseline(bars, cut(bands_trades(bars)), trials=50)
+    return significance.random_baseline(bars, cut(bands_trades(bars)))
 
 
 def q_score(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +214,7 @@ def q_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    config = pipeline.EvaluationConfig(WINDOWS, DAILY, n_bootstrap=200, m_baseline=20)
+    config = pipeline.EvaluationConfig(WINDOWS, DAILY)
     s, _, _ = pipeline.evaluate(daily_bars(spark, d), DIPS, {"low": [35.0, 45.0], "high": [55.0, 65.0]}, config)
     return _rounded(s.drop("failed"), "median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score")
 
