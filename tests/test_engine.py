@@ -387,3 +387,10 @@ def test_registered_significance_has_all_draws(monkeypatch, spark, data):
     analytics_queries.q_baseline(spark, data)
     analytics_queries.q_evaluation(spark, data)
     assert seen.get("trials", 200) == 200 and (seen["config"].n_bootstrap, seen["config"].m_baseline) == (5000, 200)
+
+
+def test_histories_are_not_empty_on_the_given_tables(spark, data):
+    from tidemark.plans import leaderboard_queries
+
+    rows = leaderboard_queries.QUERIES["lb_histories"](spark, data).collect()
+    assert len(rows) == spark.read.parquet(f"{data}/generations.parquet").where("strategy_hash is not null").count() > 0

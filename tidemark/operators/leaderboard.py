@@ -55,6 +55,12 @@ def history(generations: DataFrame, strategy_hash: str) -> DataFrame:
     return generations.where(F.col("strategy_hash") == strategy_hash).orderBy("generated_at", "id")
 
 
+def histories(generations: DataFrame) -> DataFrame:
+    """The history of every hash: its generations with their place in it, from 1; rows without a hash have none."""
+    order = Window.partitionBy("strategy_hash").orderBy("generated_at", "id")
+    return generations.where("strategy_hash is not null").withColumn("place", F.row_number().over(order))
+
+
 def status_histogram(strategies: DataFrame) -> DataFrame:
     return strategies.groupBy("status").agg(F.count("*").alias("n"))
 

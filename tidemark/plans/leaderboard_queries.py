@@ -42,6 +42,11 @@ def lb_history(spark: SparkSession, d: str) -> DataFrame:
     return lb.history(g, "4f53cda18c2baa0c0354bb5f9a3ecbe5ed12ab4d8e11ba873c2f11161202b945").select("id", "generated_at", "model_version")
 
 
+def lb_histories(spark: SparkSession, d: str) -> DataFrame:
+    """The history of every hash, its generations numbered in order."""
+    return lb.histories(_t(spark, d, "generations")).select("strategy_hash", "place", "id", "generated_at", "model_version")
+
+
 def lb_status(spark: SparkSession, d: str) -> DataFrame:
     return lb.status_histogram(_t(spark, d, "strategies"))
 
@@ -118,6 +123,7 @@ SELECT s.strategy_id, s.strategy_hash, e.eval_type, e.evaluated_at, e.score, e.c
     "lb_list": "SELECT strategy_id, strategy_hash, name, status, generation_count FROM strategies WHERE archetype = 'momentum' ORDER BY last_seen_at DESC NULLS LAST, strategy_id DESC LIMIT 50",
     "lb_prefix": "SELECT strategy_id, strategy_hash FROM strategies WHERE starts_with(strategy_hash, '4f53cd') ORDER BY strategy_hash, strategy_id LIMIT 11",
     "lb_history": "SELECT id, generated_at, model_version FROM generations WHERE strategy_hash = '4f53cda18c2baa0c0354bb5f9a3ecbe5ed12ab4d8e11ba873c2f11161202b945'",
+    "lb_histories": "SELECT strategy_hash, row_number() OVER (PARTITION BY strategy_hash ORDER BY generated_at NULLS FIRST, id) AS place, id, generated_at, model_version FROM generations WHERE strategy_hash IS NOT NULL",
     "lb_status": "SELECT status, count(*) AS n FROM strategies GROUP BY 1",
     "lb_generations": f"SELECT archetype, {_ROLLUP} FROM generations GROUP BY 1",
     "lb_generations_5m": f"SELECT archetype, {_ROLLUP} FROM generations WHERE strategy_hash IN (SELECT strategy_hash FROM strategies WHERE timeframe = '5m') GROUP BY 1",
