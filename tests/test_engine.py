@@ -394,3 +394,14 @@ def test_histories_are_not_empty_on_the_given_tables(spark, data):
 
     rows = leaderboard_queries.QUERIES["lb_histories"](spark, data).collect()
     assert len(rows) == spark.read.parquet(f"{data}/generations.parquet").where("strategy_hash is not null").count() > 0
+
+
+def test_newest_log_by_any_alias_of_the_name(spark, tmp_path):
+    from tidemark.plans import leaderboard_queries
+
+    configs = [(1, '{"strategy": "a"}'), (2, '{"strategy_name": "a"}'), (3, '{"strategy_name": "none"}'), (4, "{cut")]
+    spark.createDataFrame(configs, "id long, config_json string").write.parquet(f"{tmp_path}/evaluations.parquet")
+    logs = [(7, '{"name": "a"}', dt.datetime(2024, 1, 1)), (8, '{"name": "a"}', dt.datetime(2024, 1, 2))]
+    spark.createDataFrame(logs, "log_id long, raw_tool_input string, timestamp timestamp").write.parquet(f"{tmp_path}/generation_logs.parquet")
+    got = {r.id: r.log_id for r in leaderboard_queries.QUERIES["lb_newest_log_aliases"](spark, str(tmp_path)).collect()}
+    assert got == {1: 8, 2: 8, 3: -1, 4: -1}

@@ -137,15 +137,17 @@ def reconcile(evaluations: DataFrame, *, score: float = 1.5, median_pf: float =
     return d.where(~F.col("was").eqNullSafe(F.col("now")))
 
 
-def newest_log(evaluations: DataFrame, logs: DataFrame) -> DataFrame:
+def newest_log(evaluations: DataFrame, logs: DataFrame, names: tuple[str, ...] = ("strategy",)) -> DataFrame:
     """For each evaluation the newest readable log of a strategy with its name (id, log_id); none gives null.
 
+    The name is the first value under the paths ``names`` of the config.
+
     The logs are reduced to one per name before the join.
     """
     name = lambda c: F.try_variant_get(F.try_parse_json(c), "$.name", "string")
     by_name = logs.select(name("raw_tool_input").alias("name"), "log_id", "timestamp").where("name is not null")
     newest = by_name.groupBy("name").agg(F.max_by("log_id", F.struct("timestamp", "log_id")).alias("log_id"))
-    e = evaluations.select("id", F.try_variant_get(F.try_parse_json("config_json"), "$.strategy", "string").alias("name"))
+    e = evaluations.select("id", F.coalesce(*[F.try_variant_get(F.try_parse_json("config_json"), f"$.{n}", "string") for n in names]).alias("name"))
     return e.join(newest, "name", "left").select("id", "log_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import leaderboard as lb
-from tidemark.operators import scoring
+from tidemark.operators import drift, scoring
 from tidemark.session import table
 
 BASKET = "five_v1"
@@ -97,6 +97,13 @@ def lb_newest_log(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("log_id", F.coalesce("log_id", F.lit(-1)))
 
 
+def lb_newest_log_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """lb_newest_log with the name under any alias that p4_config reads it from."""
+    names = next(paths for name, _, paths in drift.CONFIG_ALIASES if name == "strategy")
+    r = lb.newest_log(_t(spark, d, "evaluations"), _t(spark, d, "generation_logs"), names)
+    return r.withColumn("log_id", F.coalesce("log_id", F.lit(-1)))
+
+
 def lb_monthly_cost(spark: SparkSession, d: str) -> DataFrame:
     g = _t(spark, d, "generations").withColumn("at", F.expr("try_cast(substring(generated_at, 1, 10) as date)"))
     g = g.where(F.col("at").isNotNull() & F.col("generated_at").rlike("^[0-9]{4}-"))
