@@ -27,7 +27,21 @@ def test_relative_error_and_merging(spark):
     for (g, p), r in got.items():
         v = sorted(x for k, x, _ in rows if k == g and x is not None and math.isfinite(x))
         exact = v[math.floor(p * (len(v) - 1))]
-        assert abs(r.value - exact) <= 0.02 * abs(exact) + 1e-6 and r.n_values == len(v)
+        assert abs(r.value - exact) <= 0.02 * abs(exact) and r.n_values == len(v)
+
+
+def test_the_bound_holds_at_every_magnitude(spark):
+    rows = [(f"{sign}{e}{f}", sign * f * 10.0**e) for sign in (-1, 1) for e in (-307, -30, -12, -7, -3, 0, 5, 12, 300, 307) for f in (1.0, 1.37, 1.7, 5e-1)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r.value for r in pc.percentiles(pc.sketch(df, ["g"], ["v"]), ["g"], [0.5]).collect()}
+    assert all(abs(got[g] - v) <= 0.01 * abs(v) for g, v in rows)
+
+
+def test_sketches_of_other_accuracy_are_refused(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 5.0)], "g string, v double")
+    mixed = pc.merge(pc.sketch(df, ["g"], ["v"], 0.01), pc.sketch(df, ["g"], ["v"], 0.02), keys=["g"])
+    with pytest.raises(Exception, match="a sketch of accuracy 0.02 read as 0.01"):
+        pc.percentiles(mixed, ["g"], [0.5], 0.01).collect()
 
 
 def test_archetypes(spark):

@@ -64,7 +64,7 @@ def test_pieces(spark, enc):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
     line = lambda: " ".join(word() for _ in range(rng.randrange(1, 14)))
     diff = "".join(f"diff --git a/{word()} b/{word()}\n@@ -1 +1 @@\n" + "\n".join(line() for _ in range(rng.randrange(5, 60))) + "\n\n" for _ in range(12))
-    texts = [diff, "\n\n".join(line() for _ in range(300)), "x" * 30_000, "混" * 4000, " ".join(word() for _ in range(900)), None, "", "short", "é" * 1200, diff.replace("\n", "\r\n"), diff]
+    texts = [diff, "\n\n".join(line() for _ in range(300)), "x" * 30_000, "混" * 4000, " ".join(word() for _ in range(900)), None, "", "short", "é" * 1200, diff.replace("\n", "\r\n"), diff, "👩‍👩‍👧‍👦नम混" * 600]
     rows = splitting.split_texts(docs(spark, texts)).collect()
     by = {}
     for r in rows:
@@ -77,9 +77,12 @@ def test_pieces(spark, enc):
         for r in pieces:
             assert r.n_tokens == r.last_token - r.first_token <= 1000
             assert r.overlap == (50 if r.piece_no > 1 else 0) and r.first_token + r.overlap == at
-            assert r.text == enc.decode_bytes(ids[r.first_token : r.last_token]).decode("utf-8", "ignore")
+            assert r.text == enc.decode_bytes(ids[r.first_token : r.last_token]).decode("utf-8", "ignore") and r.ids == ids[r.first_token : r.last_token]
             at = r.last_token
         assert at == len(ids)
+        assert "".join(r.text[r.overlap_chars :] for r in pieces) == texts[i]  # nothing is lost
+        assert [t for r in pieces for t in r.ids[r.overlap :]] == ids
+    assert any(r.text != enc.decode_bytes(r.ids).decode("utf-8", "replace") for r in by[11])  # an overlap that begins within a character
     assert {r.boundary for r in by[0]} <= {"start", "file", "hunk", "line"} and any(r.boundary == "file" for r in by[0])
     assert {r.boundary for r in by[1]} == {"start", "paragraph"}
     with pytest.raises(ValueError):

@@ -25,13 +25,18 @@ def p3_links(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     sk = percentiles.evaluation_sketch(table(spark, d, "evaluations"), table(spark, d, "strategies"), accuracy=ACCURACY)
-    return percentiles.percentiles(sk, ["archetype"], PERCENTILES, ACCURACY)
+    return _digits(percentiles.percentiles(sk, ["archetype"], PERCENTILES, ACCURACY))
+
+
+def _digits(df: DataFrame) -> DataFrame:
+    """Values to twelve significant digits: engines differ in the last one of a power."""
+    return df.withColumn("value", F.format_string("%.11e", "value").cast("double"))
 
 
 def p6_by_stream(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of the streams, combined again: the same percentiles as from all rows at once."""
     sk = percentiles.evaluation_sketch(table(spark, d, "evaluations"), table(spark, d, "strategies"), ["stream"], ACCURACY)
-    return percentiles.percentiles(percentiles.merge(sk.drop("stream"), keys=["archetype"]), ["archetype"], PERCENTILES, ACCURACY)
+    return _digits(percentiles.percentiles(percentiles.merge(sk.drop("stream"), keys=["archetype"]), ["archetype"], PERCENTILES, ACCURACY))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +61,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_links, p6_percentiles, p6_by_stream, p8_ids, p9_found, p9_leaks, p10_found, p10_pieces)}
 
-_G = f"{(1 + ACCURACY) / (1 - ACCURACY)!r}"
+_G, _AT = repr(percentiles.base(ACCURACY)), percentiles.origin(ACCURACY)
 _KEY = "trim(regexp_replace(lower(trim(strategy_hash)), '^sha256:', ''))"
 _PERCENTILES = f"""
 WITH a AS (
@@ -70,14 +75,14 @@ v AS (
   WHERE v IS NOT NULL AND v::VARCHAR <> 'nan' AND NOT isinf(v)),
 s AS (
   SELECT archetype, metric,
-    CASE WHEN abs(v) <= 1e-9 THEN 0 ELSE sign(v) * (1 + CAST(ceil(ln(abs(v) / 1e-9) / ln({_G})) AS INT)) END AS bucket,
+    CASE WHEN v = 0 THEN 0 ELSE sign(v) * ({_AT} + CAST(ceil(ln(abs(v)) / ln({_G})) AS INT)) END AS bucket,
     n_values, p
   FROM (SELECT archetype, metric, v, count(*) OVER (PARTITION BY archetype, metric) AS n_values FROM v),
     (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) AS t(p)),
 b AS (SELECT archetype, metric, n_values, p, bucket, count(*) AS n FROM s GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY archetype, metric, p ORDER BY bucket) AS upto FROM b)
 SELECT archetype, metric, n_values, p,
-  round(CASE WHEN bucket = 0 THEN 0.0 ELSE sign(bucket) * 2e-9 / ({_G} + 1) * pow({_G}, abs(bucket) - 1) END, 6) AS value
+  CAST(format('{{:.11e}}', CASE WHEN bucket = 0 THEN 0.0 ELSE sign(bucket) * 2 * {_G} / ({_G} + 1) * pow({_G}, abs(bucket) - {_AT + 1}) END) AS DOUBLE) AS value
 FROM c WHERE upto > floor(p * (n_values - 1)) AND upto - n <= floor(p * (n_values - 1))"""
 
 SQL = {"p6_percentiles": _PERCENTILES, "p6_by_stream": _PERCENTILES}

@@ -22,8 +22,12 @@ from tidemark.llm.bpe import _slices, default_vocabulary, replay, words_of
 #: Boundaries from strong to weak; a boundary lies before the matched text, or after it for the ends.
 BEFORE = (("file", re.compile(rb"^(?:diff |Index: |# HG changeset|From [0-9a-f]{12,40} |commit [0-9a-f]{40})", re.M)), ("hunk", re.compile(rb"^@@ ", re.M)))
 AFTER = (("paragraph", re.compile(rb"\n[ \t\r]*\n(?:[ \t\r]*\n)*")), ("line", re.compile(rb"\n")))
-KINDS = ("file", "hunk", "paragraph", "line", "word", "character", "token")
-PIECES = "piece_no int, first_token int, last_token int, n_tokens int, overlap int, boundary string, text string"
+KINDS = ("file", "hunk", "paragraph", "line", "word", "character")
+#: A character has at most four bytes, so the middle half of a segment of more tokens than this holds the beginning of one.
+LEAST_ROOM = 8
+#: Bytes that continue a character.
+CONTINUED = bytes(range(0x80, 0xC0))
+PIECES = "piece_no int, first_token int, last_token int, n_tokens int, overlap int, overlap_chars int, boundary string, text string, ids array<int>"
 
 
 def boundaries(raw: bytes, starts: np.ndarray) -> list[np.ndarray]:
@@ -42,7 +46,6 @@ def boundaries(raw: bytes, starts: np.ndarray) -> list[np.ndarray]:
     first = np.frombuffer(raw, np.uint8)[starts]
     found.append(np.flatnonzero(np.isin(first, np.frombuffer(b" \t\n\r", np.uint8))))
     found.append(np.flatnonzero((first & 0xC0) != 0x80))
-    found.append(np.arange(len(starts)))
     return found
 
 
@@ -50,7 +53,7 @@ def bisect(n: int, places: list[np.ndarray], most: int) -> list[tuple[int, int,
     """Segments (start, end, kind of the boundary at the start; -1 for the first) of at most ``most`` tokens.
 
     The strongest natural boundary in the middle half of a segment is taken, else the strongest anywhere in
-    it, else a word, character or token in the middle half; of one kind the nearest to the midpoint.
+    it, else a word or character in the middle half; of one kind the nearest to the midpoint.
     """
     natural = len(BEFORE) + len(AFTER)
     done, todo = [], [(0, n, -1)]
@@ -80,15 +83,18 @@ def split_texts(
     """The pieces of every text of more than ``limit`` tokens.
 
     Columns: the id, piece_no (from 1), first_token and last_token (exclusive) in the
-    text's tokens, n_tokens (at most ``limit``), overlap (0 or ``overlap``), boundary
-    (kind of the cut at the piece's own beginning, ``start`` for the first), text.
-    Without the overlaps the pieces make up the text.  Null, empty and shorter texts give no
-    rows; a text without any boundary is cut between tokens, and a character that a cut or
-    an overlap would split is left out of that piece's text.  Repeated rows are split each.
+    text's tokens, n_tokens (at most ``limit``), overlap (tokens repeated in front: 0 for the first
+    piece, else ``overlap``), overlap_chars (how many characters of text those are), boundary
+    (kind of the cut at the piece's own beginning, ``start`` for the first), text, ids (its tokens).
+    Cuts lie between characters, so without their first overlap_chars characters the texts make
+    up the whole text, and without their first overlap tokens the ids make up all its tokens.  An
+    overlap that begins within a character has that character in full in the piece before, and
+    its text begins with the next one.  Null, empty and shorter texts give no rows; a text without
+    any boundary is cut between characters.  Repeated rows are split each.
     """
     path = vocabulary or default_vocabulary()
-    if not 0 <= overlap < limit:
-        raise ValueError("the overlap must be smaller than the limit")
+    if not 0 <= overlap <= limit - LEAST_ROOM:
+        raise ValueError(f"the overlap must be smaller than the limit by at least {LEAST_ROOM}")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = replay(path)
@@ -107,14 +113,15 @@ def split_texts(
                     starts = ends - width[tokens]
                     for no, (a, b, kind) in enumerate(bisect(len(tokens), boundaries(raw, starts), limit - overlap), 1):
                         over = min(overlap, a)
-                        text = raw[starts[a - over] : ends[b - 1]].decode("utf-8", "ignore")
-                        rows.append((no, a - over, b, b - a + over, over, KINDS[kind] if no > 1 else "start", text))
+                        front = raw[starts[a - over] : starts[a]].lstrip(CONTINUED).decode()
+                        text = front + raw[starts[a] : ends[b - 1]].decode()
+                        rows.append((no, a - over, b, b - a + over, over, len(front), KINDS[kind] if no > 1 else "start", text, tokens[a - over : b]))
                         keys.append(r)
                 if rows:
-                    cols = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int32()] * 5, pa.string(), pa.string()))]
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int32()] * 6, pa.string(), pa.string(), pa.list_(pa.int32())))]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(keys)), *cols],
-                        names=[id_col, "piece_no", "first_token", "last_token", "n_tokens", "overlap", "boundary", "text"],
+                        names=[id_col, "piece_no", "first_token", "last_token", "n_tokens", "overlap", "overlap_chars", "boundary", "text", "ids"],
                     )
 
     kind = df.schema[id_col].dataType.simpleString()
