@@ -231,3 +231,18 @@ def test_instants_do_not_depend_on_the_session_zone(spark):
 def test_written_form_is_left_out(spark):
     d = spark.createDataFrame([("a", 1, "2024-01-31T03:08:37.123456+00:00", None), ("a", 2, "2024-01-31T03:08:37+00:00", None), ("a", 3, None, None)], "src string, row_id long, stamp string, zone string")
     assert [r.row_id for r in instants.to_normalise(instants.instants(d, "stamp", "zone")).collect()] == [2]
+
+
+def test_predicates_on_an_instant_do_not_blow_up(spark):
+    import time
+
+    stamps = ["2024-03-10 02:30", "2024-11-03T01:30:00", "03/04/24 5:06 PM", "1.642479346E+09", "x", None, "10 Jan 2022 05:34", "2022-01-10T05:34:00.123456789Z"]
+    d = spark.createDataFrame([(i, stamps[i % 8], "America/New_York" if i % 3 else None) for i in range(10_000)], "i int, t string, z string")
+    r = instants.instants(d, "t", "z")
+    began = time.time()
+    kinds = {k.instant: k["count"] for k in r.groupBy("instant").count().where("instant != 'x'").collect()}
+    assert r.where("instant != 'x' and length(instant) > 3").count() == 8_750 and sum(kinds.values()) == 8_750
+    assert kinds["nozone"] == sum(i % 8 in (0, 1, 2, 6) and i % 3 == 0 for i in range(10_000)) and kinds["unreadable"] == 1_250
+    assert r.where("instant like '2022%'").join(r.withColumnRenamed("i", "j").where("j < 8"), "instant").count() > 0
+    assert time.time() - began < 60
+

@@ -374,6 +374,8 @@ def test_scores(spark):
     per = spark.createDataFrame([("x", 40, 2.0, 1.4, 0.01), ("x", 20, 3.0, 1.6, 0.03), ("y", 0, 0.0, 0.0, 1.0)], "strategy string, n_trades int, pf double, ci_lower double, p_value double")
     s = {r.strategy: r for r in scoring.fast_floor(scoring.failed_gates(scoring.robustness(scoring.aggregate_symbols(per, ["strategy"]), 1)), 100).collect()}
     assert s["x"].score == pytest.approx(2.5 / 1.5 * 0.95) and s["x"].promising and s["x"].failed == [] and s["x"].reported_score == 0.0
+    one_idle = per.unionByName(spark.createDataFrame([("x", 0, 0.0, 0.0, 1.0)], per.schema))
+    assert {r.strategy: r for r in scoring.robustness(scoring.aggregate_symbols(one_idle, ["strategy"]), 1).collect()}["x"].score == pytest.approx(2.5 / 1.5 * 0.95)  # a symbol without trades counts in nothing
     assert [f.name for f in s["y"].failed] == ["score", "median_pf", "ci_lower", "n_trades"] and s["y"].p_value == 1.0
 
 
@@ -383,10 +385,100 @@ def test_registered_significance_has_all_draws(monkeypatch, spark, data):
     seen = {}
     real = significance.random_baseline
     monkeypatch.setattr(analytics_queries.significance, "random_baseline", lambda bars, trades, **kw: seen.update(kw) or real(bars.limit(0), trades.limit(0), **kw))
-    monkeypatch.setattr(pipeline, "evaluate", lambda bars, spec, grid, config: seen.update(config=config) or (bars.limit(0).selectExpr(*[f"0.0D as {c}" for c in ("median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score", "failed")]), None, None))
     analytics_queries.q_baseline(spark, data)
-    analytics_queries.q_evaluation(spark, data)
-    assert seen.get("trials", 200) == 200 and (seen["config"].n_bootstrap, seen["config"].m_baseline) == (5000, 200)
+    configs = []
+    blank = lambda: spark.range(0).selectExpr(*[f"0.0D as {c}" for c in ("median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score")], "array(named_struct('name', 'x')) as failed")
+    monkeypatch.setattr(pipeline, "evaluate", lambda bars, spec, grid, config: configs.append(config) or (blank(), None, None))
+    monkeypatch.setattr(pipeline, "evaluate_holdout", lambda bars, at, spec, config: configs.append(config) or (blank(), None, None))
+    monkeypatch.setattr(pipeline, "conclude", lambda bars, trades, spec, n, config: configs.append(config) or (blank(), None))
+    for q in ("q_evaluation", "q_holdout_evaluation", "q_score"):
+        analytics_queries.QUERIES[q](spark, data)
+    assert seen.get("trials", 200) == 200 and {(c.n_bootstrap, c.m_baseline) for c in configs} == {(5000, 200)} and len(configs) == 3
+
+
+def test_bootstrap_of_a_large_group_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    pnl = [float(x) for x in rng.normal(0.1, 1.0, 3000)]
+    t = trades(spark, pnl).unionByName(trades(spark, [1.0, -2.0, 3.0], "small"))
+    whole = {r.symbol: r for r in significance.bootstrap(t, ["symbol"], 400, seed=3).collect()}
+    cut = {r.symbol: r for r in significance.bootstrap(t, ["symbol"], 400, seed=3, block_trades=200).collect()}
+    assert whole["small"] == cut["small"] and whole["S"].pf == pytest.approx(cut["S"].pf) and cut["S"].n_trades == 3000
+    width = whole["S"].ci_upper - whole["S"].ci_lower
+    assert abs(whole["S"].ci_lower - cut["S"].ci_lower) < width / 4 and abs(whole["S"].ci_upper - cut["S"].ci_upper) < width / 4
+    sizes = [7, 0, 100, 33, 60]
+    drawn = [significance.draws_of_block(sizes, b, 500, [1, 2]) for b in range(5)]
+    assert (sum(drawn) == 200).all() and (drawn[1] == 0).all() and abs(drawn[2].mean() - 100) < 2
+    assert significance.bootstrap(t.limit(0), ["symbol"]).count() == 0
+
+
+def test_hash_fills_defaults_and_refuses_unknown_members():
+    base = doc(position_sizing={"rule": "fixed", "size": 1})
+    same = [base | {"position_sizing": {"rule": "fixed", "size": 1}}, base | {"position_sizing": None}, base | {"name": "else"}]
+    same.append(base | {"parameters": [p | {"range_min": None, "description": "text"} for p in base.get("parameters", [])]})
+    same.append(base | {"indicators": [({"params": None} | i) for i in base.get("indicators", [])]})
+    assert {dsl.spec_hash(dsl.parse(d)) for d in same} == {dsl.spec_hash(dsl.parse(base))}
+    assert dsl.spec_hash(dsl.parse(base | {"position_sizing": {"rule": "fixed", "size": 2}})) != dsl.spec_hash(dsl.parse(base))
+    with pytest.raises(dsl.SpecError, match="unknown members"):
+        dsl.spec_hash(dsl.parse(base | {"mood": "good"}))
+
+
+def test_gate_rejects_what_can_never_trade():
+    long = doc(timeframes=["1h"], indicators=[{"name": "slow", "type": "sma", "params": {"period": 8}}])
+    for slot in dsl.SLOTS:
+        long[slot] = None
+    long["entry_long"] = {"op": "compare", "operator": ">", "lhs": {"op": "price", "field": "close"}, "rhs": {"op": "indicator", "name": "slow"}}
+    with pytest.raises(dsl.SpecError, match="exceeds the 7 bars"):
+        dsl.gate(dsl.parse(long))
+    fits = long | {"indicators": [{"name": "slow", "type": "sma", "params": {"period": 7}}]}
+    dsl.gate(dsl.parse(fits))
+    dsl.gate(dsl.parse(long | {"timeframes": ["1d"]}))
+    with pytest.raises(dsl.SpecError, match="is not for 1h"):
+        dsl.gate(dsl.parse(fits), {fits["archetype"]: (set(fits["supported_assets"]), {"1d"})})
+
+
+def test_no_checkpoint_folder_of_our_own_choice(monkeypatch):
+    from tidemark.session import ensure_checkpoint_dir
+
+    class Bare:
+        class sparkContext:  # noqa: N801
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda k, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Bare)
+
+
+def test_hashes_of_logs_and_backfill(spark):
+    from tidemark.operators import leaderboard as lb
+
+    good, bad = json.dumps(doc()), json.dumps(doc() | {"mood": "x"})
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a/1", at, "P", good), ("a/2", at, "p ", good), ("a/3", at + dt.timedelta(1), "q", good), ("a/4", at, "p", bad), ("a/5", at, "p", None), ("a/6", at, "p", good[:40])]
+    logs = spark.createDataFrame(rows, "path string, timestamp timestamp, prompt_hash string, raw_tool_input string")
+    known = spark.createDataFrame([(dsl.spec_hash(dsl.parse(doc())).upper(), "2024-01-02T00:00:00.000000Z", "q")], "strategy_hash string, moment string, prompt_hash string")
+    added, skipped = lb.backfill_generations(logs, known)
+    assert [r.path for r in added.collect()] == ["a/1"]
+    why = {r.path: r.reason for r in skipped.collect()}
+    assert why["a/2"] == why["a/3"] == "duplicate" and why["a/5"] == "no document" and "unknown members" in why["a/4"] and "no JSON" in why["a/6"]
+    name = doc()["name"]
+    reports = spark.createDataFrame([("r1", "".join(w.capitalize() for w in name.split("_")), "fast", "m1"), ("r2", name, "fast", "m0"), ("r3", "Nobody", "fast", "m"), ("r4", None, "fast", "m")], "results_dir string, strategy string, eval_type string, moment string")
+    had = spark.createDataFrame([(dsl.spec_hash(dsl.parse(doc())), "fast", "m0")], "strategy_hash string, eval_type string, moment string")
+    added, skipped = lb.backfill_evaluations(reports, logs, had)
+    assert [r.results_dir for r in added.collect()] == ["r1"]
+    assert {r.results_dir: r.reason for r in skipped.collect()} == {"r2": "duplicate", "r3": "no hash", "r4": "no strategy"}
+
+
+def test_prefixes_resolve_or_are_ambiguous(spark):
+    from tidemark.operators import leaderboard as lb
+
+    s = spark.createDataFrame([(1, "abcdef1"), (2, "ABCDEF1 "), (3, "abcdef2"), (4, None), (5, "fedcba9")], "strategy_id long, strategy_hash string")
+    assert lb.resolve(s, "fedcba") == "fedcba9" and lb.resolve(s, "000000") is None and lb.resolve(s, "abcdef1") == "abcdef1"
+    with pytest.raises(lb.Ambiguous):
+        lb.resolve(s, "abcdef")
+    with pytest.raises(ValueError):
+        lb.resolve(s, "abc")
 
 
 def test_histories_are_not_empty_on_the_given_tables(spark, data):

@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
-SLOW = {"q_walk_forward", "q_oos_trades", "q_score"}  # run by name: pytest -k
 
 
 def plain(v):
@@ -27,7 +26,7 @@ def con(data):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_same_rows_as_sql(spark, con, data, name):
     df = entry.queries()[name](spark, data)
     cols = sorted(df.columns)

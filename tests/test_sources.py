@@ -113,7 +113,7 @@ def test_latest_before_promising(spark):
     )
     assert [r.strategy_hash for r in lb.promising(s, e).collect()] == ["k"]
     assert {(r.strategy_hash, r.id) for r in lb.authoritative(e).collect()} == {("h", 2), ("k", 3)}
-    assert [r.strategy_hash for r in lb.cohort(e, s, least_ci=1.0, least_trades=30, basket="b").collect()] == ["k"]
+    assert [r.key for r in lb.cohort(e, s, least_ci=1.0, least_trades=30, basket="b").collect()] == ["k"]
     assert {(r.eval_type, r.n, r.n_promising) for r in lb.evaluation_rollup(e).collect()} == {("fast", 3, 2), ("canonical", 0, 0), ("holdout", 1, 1)}
     with pytest.raises(ValueError):
         lb.hash_prefix(s, "abc")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
@@ -195,26 +196,80 @@ def render(node: dict[str, Any]) -> str:
     }[op]()
 
 
+#: The members of a document and of its parts, each with the value that stands for an absent one
+#: (REQUIRED: it must be there; None: null).  Members under FREE are text for readers and no logic.
+REQUIRED = object()
+MEMBERS = {
+    "document": {
+        "name": REQUIRED, "archetype": REQUIRED, "thesis": None, "supported_assets": [], "timeframes": [], "parameters": [], "indicators": [],
+        "entry_long": None, "entry_short": None, "exit_long": None, "exit_short": None, "position_sizing": {"rule": "fixed", "size": 1},
+    },
+    "parameter": {"name": REQUIRED, "type": REQUIRED, "default": REQUIRED, "range_min": None, "range_max": None, "description": None},
+    "indicator": {"name": REQUIRED, "type": REQUIRED, "params": {}},
+    "position_sizing": {"rule": "fixed", "size": 1},
+}
+FREE = {"document": {"name", "thesis"}, "parameter": {"description"}, "indicator": set(), "position_sizing": set()}
+#: Fixed value: what precedes the source text of a hand-written strategy in its hash.
+SOURCE_DOMAIN = b"manual-strategy:v1\n"
+
+
+def _filled(kind: str, x: dict[str, Any]) -> dict[str, Any]:
+    """The logic of a document or part: every member there, nulls as if absent; raises SpecError for others or missing ones."""
+    strange = sorted(set(x) - set(MEMBERS[kind]))
+    if strange:
+        raise SpecError(f"{kind}: unknown members {strange}")
+    full = {k: default if x.get(k) is None else x[k] for k, default in MEMBERS[kind].items()}
+    lacking = [k for k, v in full.items() if v is REQUIRED]
+    if lacking:
+        raise SpecError(f"{kind}: {lacking} missing")
+    return {k: v for k, v in full.items() if k not in FREE[kind]}
+
+
+def _unordered(node: Any) -> Any:
+    """A clause whose and/or arguments stand in the order of their JSON."""
+    if not isinstance(node, dict):
+        return node
+    out = {k: [_unordered(a) for a in v] if k == "args" else _unordered(v) for k, v in node.items()}
+    if "args" in out:
+        out["args"].sort(key=lambda a: json.dumps(a, sort_keys=True))
+    return out
+
+
 def spec_hash(spec: Spec) -> str:
-    """sha256 of the logic: without name, thesis and descriptions; order of lists and and/or arguments does not count."""
-    key = lambda x: json.dumps(x, sort_keys=True)
-
-    def logic(x: Any) -> Any:
-        if isinstance(x, list):
-            return [logic(v) for v in x]
-        if not isinstance(x, dict):
-            return x
-        y = {k: logic(v) for k, v in x.items() if k != "description"}
-        if y.get("op") in ("and", "or"):
-            y["args"] = sorted(y["args"], key=key)
-        return y
-
-    doc = {k: logic(spec.doc.get(k)) for k in ("archetype", "supported_assets", "timeframes", "parameters", "indicators", "position_sizing", *SLOTS)}
-    for k in ("supported_assets", "timeframes", "parameters", "indicators"):
-        doc[k] = sorted(doc[k] or [], key=key)
+    """sha256 of the logic: without name, thesis and descriptions; order of lists and and/or arguments does not count.
+
+    An absent member, a null one and one with its default are the same; a member that the language does not know
+    is an error, so that no logic is left out in silence.  Names of indicators and parameters count.
+    """
+    doc = _filled("document", spec.doc)
+    by_name = lambda kind, rows: sorted((_filled(kind, r) for r in rows), key=lambda r: r["name"])
+    doc |= {"parameters": by_name("parameter", doc["parameters"]), "indicators": by_name("indicator", doc["indicators"])}
+    doc |= {k: sorted(doc[k]) for k in ("supported_assets", "timeframes")} | {k: _unordered(doc[k]) for k in SLOTS}
+    doc["position_sizing"] = _filled("position_sizing", doc["position_sizing"])
     return hashlib.sha256(json.dumps(doc, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def source_hash(strategy: type) -> str:
+    """sha256 of a hand-written strategy's source text; raises TypeError where there is none."""
+    try:
+        text = inspect.getsource(strategy)
+    except OSError as e:
+        raise TypeError(f"{strategy.__name__} has no source") from e
+    return hashlib.sha256(SOURCE_DOMAIN + text.encode()).hexdigest()
+
+
+def signal_frequency(ready: DataFrame, spec: Spec, slot: str) -> DataFrame:
+    """Per symbol: bars, warm bars and their share, hits of the entry and of each of its clauses, one row per clause."""
+    given = {k: F.lit(v) for k, v in spec.defaults.items()}
+    parts = clauses(spec.doc[slot])
+    full = to_column(spec.doc[slot], given)
+    hits = [F.count_if(F.col("warm") & to_column(c, given)).alias(f"c{i}") for i, c in enumerate(parts)]
+    a = ready.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.count_if("warm").alias("warm_bars"), F.count_if(F.col("warm") & full).alias("full_hits"), *hits)
+    rows = F.array(*[F.struct(F.lit(render(c)).alias("clause"), F.col(f"c{i}").alias("clause_hits")) for i, c in enumerate(parts)])
+    least = F.least(*[F.col(f"c{i}") for i in range(len(parts))]) if len(parts) > 1 else F.col("c0")
+    return a.select("symbol", "n_bars", "warm_bars", (F.col("warm_bars") / F.col("n_bars")).alias("warm_ratio"), "full_hits", F.round(F.col("full_hits") / F.nullif(least, F.lit(0)), 6).alias("full_to_least"), F.explode(rows).alias("r")).select("*", "r.*").drop("r")
+
+
 @dataclass(frozen=True)
 class Finding:
     """Something a check of a document found."""
@@ -261,3 +316,18 @@ def _outside_not(node: Any) -> Iterator[dict[str, Any]]:
         yield node
     for a in node.get("args") or []:
         yield from _outside_not(a)
+
+
+def gate(spec: Spec, allowed: dict[str, tuple[set[str], set[str]]] | None = None) -> None:
+    """Raise SpecError for a document that can never trade, or that a table of archetypes does not allow.
+
+    An entry that cannot hold, and an indicator whose lookback exceeds the bars of a session, are fatal; the other
+    findings of ``lint`` are not.  ``allowed`` gives the assets and timeframes of each archetype, if there is such a table.
+    """
+    fatal = [f.text for f in lint(spec) if f.kind == "warmup" or (f.kind == "unreachable" and f.slot.startswith("entry"))]
+    if allowed is not None:
+        assets, frames = allowed.get(spec.doc.get("archetype"), (set(), set()))
+        fatal += [f"{spec.doc.get('archetype')} is not for {x}" for x in spec.doc.get("supported_assets") or [] if x not in assets]
+        fatal += [f"{spec.doc.get('archetype')} is not for {x}" for x in spec.doc["timeframes"] if x not in frames]
+    if fatal:
+        raise SpecError("; ".join(fatal))

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def aggregate_symbols(per_symbol: DataFrame, keys: list[str]) -> DataFrame:
-    """Medians over the symbols with trades, and the sum of trades; zeros and p = 1 where none traded.
+    """Medians and spread over the symbols with trades, and the sum of trades; zeros and p = 1 where none traded.
 
-    per_symbol: keys, n_trades, pf, ci_lower, p_value.
+    per_symbol: keys, n_trades, pf, ci_lower, p_value.  A symbol without trades has no profit factor, so it
+    counts in none of them.
     """
-    traded = lambda c: F.median(F.when(F.col("n_trades") > 0, F.col(c)))
+    own = lambda c: F.when(F.col("n_trades") > 0, F.col(c))
     return per_symbol.groupBy(*keys).agg(
-        F.coalesce(F.median("pf"), F.lit(0.0)).alias("median_pf"), F.coalesce(F.stddev_pop("pf"), F.lit(0.0)).alias("std_pf"),
-        F.coalesce(traded("ci_lower"), F.lit(0.0)).alias("ci_lower"), F.coalesce(traded("p_value"), F.lit(1.0)).alias("p_value"), F.coalesce(F.sum("n_trades"), F.lit(0)).alias("n_trades"),
+        F.coalesce(F.median(own("pf")), F.lit(0.0)).alias("median_pf"), F.coalesce(F.stddev_pop(own("pf")), F.lit(0.0)).alias("std_pf"),
+        F.coalesce(F.median(own("ci_lower")), F.lit(0.0)).alias("ci_lower"), F.coalesce(F.median(own("p_value")), F.lit(1.0)).alias("p_value"),
+        F.coalesce(F.sum("n_trades"), F.lit(0)).alias("n_trades"),
     )
 
 

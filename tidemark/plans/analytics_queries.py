@@ -132,19 +132,7 @@ def q_session_places(spark: SparkSession, d: str) -> DataFrame:
 
 def q_signal_frequency(spark: SparkSession, d: str) -> DataFrame:
     x = add_indicators(daily_bars(spark, d), ["symbol"], DIPS.indicators)
-    return signal_frequency(x, DIPS, "entry_long")
-
-
-def signal_frequency(ready: DataFrame, spec: dsl.Spec, slot: str) -> DataFrame:
-    """Per symbol: bars, warm bars, hits of the entry and of each of its clauses, one row per clause."""
-    given = {k: F.lit(v) for k, v in spec.defaults.items()}
-    parts = dsl.clauses(spec.doc[slot])
-    full = dsl.to_column(spec.doc[slot], given)
-    hits = [F.count_if(F.col("warm") & dsl.to_column(c, given)).alias(f"c{i}") for i, c in enumerate(parts)]
-    a = ready.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.count_if("warm").alias("warm_bars"), F.count_if(F.col("warm") & full).alias("full_hits"), *hits)
-    rows = F.array(*[F.struct(F.lit(dsl.render(c)).alias("clause"), F.col(f"c{i}").alias("clause_hits")) for i, c in enumerate(parts)])
-    least = F.least(*[F.col(f"c{i}") for i in range(len(parts))]) if len(parts) > 1 else F.col("c0")
-    return a.select("symbol", "n_bars", "warm_bars", "full_hits", F.round(F.col("full_hits") / F.nullif(least, F.lit(0)), 6).alias("full_to_least"), F.explode(rows).alias("r")).select("*", "r.*").drop("r")
+    return dsl.signal_frequency(x, DIPS, "entry_long").withColumn("warm_ratio", F.round("warm_ratio", 6))
 
 
 def q_trades(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +185,7 @@ def q_holdout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    b = significance.bootstrap(cut(dips_trades(spark, d)), ["symbol"], n_resamples=200, seed=7)
+    b = significance.bootstrap(cut(dips_trades(spark, d)), ["symbol"], n_resamples=5000, seed=7)
     return _rounded(b, "pf", "ci_lower", "ci_upper", "fraction_capped")
 
 
@@ -206,17 +194,29 @@ def q_baseline(spark: SparkSession, d: str) -> DataFrame:
     return significance.random_baseline(bars, cut(bands_trades(bars)))
 
 
+def _summary(df: DataFrame) -> DataFrame:
+    names = F.array_join(F.transform("failed", lambda x: x["name"]), ",")
+    return _rounded(df.withColumn("failed_names", names).drop("failed"), "median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score", places=5)
+
+
 def q_score(spark: SparkSession, d: str) -> DataFrame:
-    b = significance.bootstrap(cut(dips_trades(spark, d)), ["symbol"], n_resamples=200, seed=7)
-    per = b.select(F.lit("dips").alias("strategy"), "n_trades", "pf", "ci_lower", F.lit(0.04).alias("p_value"))
-    s = scoring.fast_floor(scoring.failed_gates(scoring.robustness(scoring.aggregate_symbols(per, ["strategy"]), 2)))
-    return _rounded(s.select("strategy", "median_pf", "std_pf", "ci_lower", "n_trades", "score", "reported_score", F.array_join(F.transform("failed", lambda x: x.getField("name")), ",").alias("failed_names"), "promising"), "median_pf", "std_pf", "ci_lower", "score", "reported_score", places=5)
+    """Score and thresholds of all trades of the daily strategy, with bootstrap intervals and the random baseline's p-values."""
+    bars, trades = cut(daily_bars(spark, d)), cut(dips_trades(spark, d))
+    summary, _ = pipeline.conclude(bars, trades, DIPS, 2, pipeline.EvaluationConfig(WINDOWS, DAILY, seed=7, trade_floor=50))
+    return _summary(summary)
 
 
 def q_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole walk-forward evaluation."""
     config = pipeline.EvaluationConfig(WINDOWS, DAILY)
     s, _, _ = pipeline.evaluate(daily_bars(spark, d), DIPS, {"low": [35.0, 45.0], "high": [55.0, 65.0]}, config)
-    return _rounded(s.drop("failed"), "median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score")
+    return _summary(s)
+
+
+def q_holdout_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole evaluation on the holdout."""
+    s, _, _ = pipeline.evaluate_holdout(daily_bars(spark, d), dt.datetime(2001, 1, 1), DIPS, pipeline.EvaluationConfig(WINDOWS, DAILY))
+    return _summary(s)
 
 
 def q_opening_range(spark: SparkSession, d: str) -> DataFrame:
@@ -376,10 +376,14 @@ trades AS (SELECT symbol, CASE sg WHEN 1 THEN 'long' ELSE 'short' END AS side, 1
   (close - sg * 0.01 - eop - sg * 0.01) * sg AS pnl, (close - sg * 0.01 - eop - sg * 0.01) * sg / (eop + sg * 0.01) AS pnl_pct,
   CAST(date_diff('second', entry_ts, exit_ts) // 60 AS INT) AS duration_mins FROM raw)"""
 
+def _boot(seed: int) -> str:
+    return _BOOT.replace("SEED", str(seed))
+
+
 _BOOT = """
 numbered AS (SELECT symbol, pnl, row_number() OVER (PARTITION BY symbol ORDER BY entry_ts, exit_ts, pnl) - 1 AS place, count(*) OVER (PARTITION BY symbol) AS n FROM trades),
-d0 AS (SELECT symbol, r, n, (r * 7919 + place * 104729 + 7 * 1299709 + 1) % 2147483647 AS x
-  FROM numbered, (SELECT unnest(range(200)) AS r)),
+d0 AS (SELECT symbol, r, n, (r * 7919 + place * 104729 + SEED * 1299709 + 1) % 2147483647 AS x
+  FROM numbered, (SELECT unnest(range(5000)) AS r)),
 d1 AS (SELECT * REPLACE ((x * (x + 48271) + r) % 2147483647 AS x) FROM d0), d2 AS (SELECT * REPLACE ((x * (x + 48271) + r) % 2147483647 AS x) FROM d1),
 d3 AS (SELECT * REPLACE ((x * (x + 48271) + r) % 2147483647 AS x) FROM d2), drawn AS (SELECT symbol, r, (x * (x + 48271) + r) % 2147483647 % n AS place FROM d3),
 pfs AS (SELECT symbol, r, coalesce(sum(pnl) FILTER (pnl > 0), 0.0) AS w, coalesce(-sum(pnl) FILTER (pnl < 0), 0.0) AS l FROM drawn JOIN numbered USING (symbol, place) GROUP BY 1, 2),
@@ -388,6 +392,19 @@ ci AS (SELECT symbol, quantile_cont(CASE WHEN l > 0 THEN w / l WHEN w > 0 THEN 1
 own AS (SELECT symbol, count(*) AS n_trades, coalesce(sum(pnl) FILTER (pnl > 0), 0.0) AS w, coalesce(-sum(pnl) FILTER (pnl < 0), 0.0) AS l FROM trades GROUP BY 1),
 boot AS (SELECT symbol, CASE WHEN l > 0 THEN w / l WHEN w > 0 THEN 100.0 ELSE 0.0 END AS pf, ci_lower, ci_upper, fraction_capped, n_trades, n_trades < 100 AS under_sampled FROM own JOIN ci USING (symbol))"""
 
+
+def _judged(bars: str, n_grid: int, floor: int) -> str:
+    """Score and thresholds from boot.  On daily bars no random entry has a later bar, so p is 0 for a symbol that gains and 1 else."""
+    return f""",
+judged_a AS (SELECT coalesce(median(pf), 0.0) AS median_pf, coalesce(stddev_pop(pf), 0.0) AS std_pf, coalesce(median(ci_lower), 0.0) AS ci_lower, CAST(coalesce(sum(n_trades), 0) AS BIGINT) AS n_trades,
+  coalesce(median(CASE WHEN pf <= 0 THEN 1.0 ELSE 0.0 END), 1.0)::DOUBLE AS p_value FROM boot),
+judged_u AS (SELECT substring(sha256(string_agg(DISTINCT symbol, ',' ORDER BY symbol)), 1, 12) AS basket_hash, count(DISTINCT symbol) AS n_symbols FROM {bars}),
+judged AS (SELECT *, median_pf / (1 + std_pf) * pow(0.95, {n_grid}) * CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.5 END AS score FROM judged_a, judged_u)
+SELECT 'dips' AS strategy, {_R('median_pf', 'std_pf', 'ci_lower', 'p_value', n=5)}, n_trades, round(score, 5) AS score, round(CASE WHEN n_trades < {floor} THEN 0.0 ELSE score END, 5) AS reported_score,
+  concat_ws(',', CASE WHEN score <= 1.5 THEN 'score' END, CASE WHEN median_pf <= 1.2 THEN 'median_pf' END, CASE WHEN ci_lower <= 1.0 THEN 'ci_lower' END, CASE WHEN n_trades < 30 THEN 'n_trades' END) AS failed_names,
+  score > 1.5 AND median_pf > 1.2 AND ci_lower > 1.0 AND n_trades >= 30 AS promising, basket_hash, n_symbols FROM judged"""
+
+
 _EQUITY = """
 e0 AS (SELECT b.symbol, b.ts, b.close, (SELECT max(ts) FROM bars z WHERE z.symbol = b.symbol) AS z FROM bars b),
 eq AS (SELECT symbol, ts, 10000.0
@@ -473,7 +490,7 @@ FROM bars WINDOW o AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts), w AS
     "q_signal_frequency": f"""WITH {_READY},
 a AS (SELECT symbol, count(*) AS n_bars, count(*) FILTER (warm) AS warm_bars, count(*) FILTER (warm AND osc < 40 AND close > avg20) AS full_hits,
   count(*) FILTER (warm AND osc < 40) AS c0, count(*) FILTER (warm AND close > avg20) AS c1 FROM ready GROUP BY 1)
-SELECT symbol, n_bars, warm_bars, full_hits, round(full_hits / nullif(least(c0, c1), 0)::DOUBLE, 6) AS full_to_least, unnest(['osc < param.low', 'price.close > avg20']) AS clause, unnest([c0, c1]) AS clause_hits FROM a""",
+SELECT symbol, n_bars, warm_bars, round(warm_bars / n_bars, 6) AS warm_ratio, full_hits, round(full_hits / nullif(least(c0, c1), 0)::DOUBLE, 6) AS full_to_least, unnest(['osc < param.low', 'price.close > avg20']) AS clause, unnest([c0, c1]) AS clause_hits FROM a""",
     "q_trades": _TRADES + f"SELECT {_TRADE_SELECT} FROM trades",
     "q_session_trades": f"WITH RECURSIVE {_SESSION_READY}{_SESSION_FOLD} SELECT {_TRADE_SELECT} FROM trades",
     "q_trade_metrics": f"{_TRADES}, {_METRICS} SELECT symbol, total_trades, {_R('win_rate', 'gross_win', 'gross_loss', 'avg_win', 'avg_loss', 'total_pnl', 'avg_trade', 'avg_duration_mins', n=5)}, round({_PF}, 5) AS profit_factor FROM m",
@@ -488,13 +505,10 @@ SELECT symbol, (SELECT count(*) FROM trades t WHERE t.symbol = pk.symbol) AS tot
     "q_holdout": _HOLDOUT,
     "q_crypto_indicators": _CRYPTO,
     "q_stream_bars": _STREAM,
-    "q_bootstrap": f"{_TRADES}, {_BOOT} SELECT symbol, {_R('pf', 'ci_lower', 'ci_upper', 'fraction_capped')}, n_trades, under_sampled FROM boot",
-    "q_score": f"""{_TRADES}, {_BOOT},
-a AS (SELECT median(pf) AS median_pf, stddev_pop(pf) AS std_pf, median(ci_lower) AS ci_lower, CAST(sum(n_trades) AS BIGINT) AS n_trades FROM boot),
-s AS (SELECT *, median_pf / (1 + std_pf) * 0.95 * 0.95 AS score FROM a)
-SELECT 'dips' AS strategy, {_R('median_pf', 'std_pf', 'ci_lower', n=5)}, n_trades, round(score, 5) AS score, round(CASE WHEN n_trades < 50 THEN 0.0 ELSE score END, 5) AS reported_score,
-  concat_ws(',', CASE WHEN score <= 1.5 THEN 'score' END, CASE WHEN median_pf <= 1.2 THEN 'median_pf' END, CASE WHEN ci_lower <= 1.0 THEN 'ci_lower' END, CASE WHEN n_trades < 30 THEN 'n_trades' END) AS failed_names,
-  score > 1.5 AND median_pf > 1.2 AND ci_lower > 1.0 AND n_trades >= 30 AS promising FROM s""",
+    "q_bootstrap": f"{_TRADES}, {_boot(7)} SELECT symbol, {_R('pf', 'ci_lower', 'ci_upper', 'fraction_capped')}, n_trades, under_sampled FROM boot",
+    "q_score": f"{_TRADES}, {_boot(7)}{_judged('bars', 2, 50)}",
+    "q_evaluation": f"{_WALK.rpartition('SELECT keyed.symbol')[0]}, trades AS (SELECT keyed.symbol, t.* EXCLUDE (symbol) FROM trades_b t JOIN keyed ON k = t.symbol WHERE entry_ts >= CAST(test_start AS TIMESTAMP)), {_boot(0)}{_judged('bars0', 2, 0)}",
+    "q_holdout_evaluation": f"{_HOLDOUT.rpartition('SELECT symbol, side')[0]}, trades AS (SELECT * FROM trades_h WHERE entry_ts >= TIMESTAMP '2001-01-01'), {_boot(0)}{_judged('(SELECT * FROM bars0 WHERE ts >= TIMESTAMP ' + chr(39) + '2001-01-01' + chr(39) + ')', 0, 0)}",
     "q_buy_and_hold": f"""WITH {DAILY_SQL}, x AS (SELECT symbol, 'long' AS side, 1 AS size, list(ts ORDER BY ts)[2] AS entry_ts, list(open ORDER BY ts)[2] + 0.01 AS entry_price, max(ts) AS exit_ts,
   arg_max(close, ts) - 0.01 AS exit_price, 'eod' AS exit_reason FROM bars GROUP BY 1 HAVING count(*) > 1),
 trades AS (SELECT *, exit_price - entry_price AS pnl, (exit_price - entry_price) / entry_price AS pnl_pct, CAST(date_diff('minute', entry_ts, exit_ts) AS INT) AS duration_mins FROM x) SELECT {_TRADE_SELECT} FROM trades""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import drift, gridding, instants, orphans, spikes
+from tidemark.plans.stamps_sql import stamps
 from tidemark.session import table
 
 
@@ -92,7 +93,17 @@ misses AS (
   FROM refs LEFT JOIN first_of f USING (k) WHERE refs.k IS NOT NULL)
 """
 
+_TARGET = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}\+00:00"
+_STAMPS = f"""
+WITH stamped AS (
+  SELECT 'raw_bars_5m' AS src, raw_id AS row_id, time AS stamp, zone FROM raw_bars_5m
+  UNION ALL SELECT 'generations', id, generated_at, recorded_zone FROM generations
+  UNION ALL SELECT 'evaluations', id, evaluated_at, recorded_zone FROM evaluations),
+{stamps("read", "stamped", "stamp", "zone")}
+"""
+
 SQL = {
+    "p7_found": _STAMPS + f"SELECT DISTINCT src, row_id, instant FROM read WHERE stamp IS NOT NULL AND NOT regexp_full_match(stamp, '{_TARGET}')",
     "p2_found": _ORPHANS + "SELECT DISTINCT src, row_id, field FROM misses WHERE reason IS NOT NULL",
     "p2_report": _ORPHANS + "SELECT src, field, batch_no, reason, count(*) AS n_rows FROM misses WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": """

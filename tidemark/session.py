@@ -14,12 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; choose one of our own only where none is set (tests)."""
+    """Use the shared folder named by spark.checkpoint.dir; raises RuntimeError where there is none.
+
+    A folder of one machine would lose what it holds with that machine, so the library never chooses one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     given = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+    if not given:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(given)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings used by tests and bench."""
+    """A local session with the settings used by tests and bench; on one machine, so its checkpoints may be in a temporary folder."""
     b = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tidemark")
@@ -40,6 +45,8 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
