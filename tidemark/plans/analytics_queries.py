@@ -195,8 +195,10 @@ def q_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary(df: DataFrame) -> DataFrame:
+    """Values to eight significant digits, as profit factors may be of any size."""
     names = F.array_join(F.transform("failed", lambda x: x["name"]), ",")
-    return _rounded(df.withColumn("failed_names", names).drop("failed"), "median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score", places=5)
+    cols = ["median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score"]
+    return df.withColumn("failed_names", names).drop("failed").withColumns({c: F.format_string("%.7e", c).cast("double") for c in cols})
 
 
 def q_score(spark: SparkSession, d: str) -> DataFrame:
@@ -395,12 +397,13 @@ boot AS (SELECT symbol, CASE WHEN l > 0 THEN w / l WHEN w > 0 THEN 100.0 ELSE 0.
 
 def _judged(bars: str, n_grid: int, floor: int) -> str:
     """Score and thresholds from boot.  On daily bars no random entry has a later bar, so p is 0 for a symbol that gains and 1 else."""
+    columns = {c: c for c in ("median_pf", "std_pf", "ci_lower", "p_value", "score")} | {"reported_score": f"CASE WHEN n_trades < {floor} THEN 0.0 ELSE score END"}
     return f""",
 judged_a AS (SELECT coalesce(median(pf), 0.0) AS median_pf, coalesce(stddev_pop(pf), 0.0) AS std_pf, coalesce(median(ci_lower), 0.0) AS ci_lower, CAST(coalesce(sum(n_trades), 0) AS BIGINT) AS n_trades,
   coalesce(median(CASE WHEN pf <= 0 THEN 1.0 ELSE 0.0 END), 1.0)::DOUBLE AS p_value FROM boot),
 judged_u AS (SELECT substring(sha256(string_agg(DISTINCT symbol, ',' ORDER BY symbol)), 1, 12) AS basket_hash, count(DISTINCT symbol) AS n_symbols FROM {bars}),
 judged AS (SELECT *, median_pf / (1 + std_pf) * pow(0.95, {n_grid}) * CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.5 END AS score FROM judged_a, judged_u)
-SELECT 'dips' AS strategy, {_R('median_pf', 'std_pf', 'ci_lower', 'p_value', n=5)}, n_trades, round(score, 5) AS score, round(CASE WHEN n_trades < {floor} THEN 0.0 ELSE score END, 5) AS reported_score,
+SELECT 'dips' AS strategy, {", ".join(f"CAST(format('{{:.7e}}', {v}) AS DOUBLE) AS {c}" for c, v in columns.items())}, n_trades,
   concat_ws(',', CASE WHEN score <= 1.5 THEN 'score' END, CASE WHEN median_pf <= 1.2 THEN 'median_pf' END, CASE WHEN ci_lower <= 1.0 THEN 'ci_lower' END, CASE WHEN n_trades < 30 THEN 'n_trades' END) AS failed_names,
   score > 1.5 AND median_pf > 1.2 AND ci_lower > 1.0 AND n_trades >= 30 AS promising, basket_hash, n_symbols FROM judged"""
 
