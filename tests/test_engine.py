@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dsl
 from tidemark.functions.indicators import Indicator, add_indicators, buffer_length, check_arguments, lookback, need, over_long_series
-from tidemark.operators import custom, metrics, resample, scoring, significance, walkforward
+from tidemark.operators import custom, dips, metrics, opening_range, resample, scoring, significance, walkforward
 from tidemark.operators.backtest import BacktestConfig, Engine, Bar, Entry, Exit, backtest_signals, run_custom
 from tidemark.operators.prefix import previous, running, with_halo
 
@@ -197,36 +197,92 @@ def test_buy_and_hold_round_trip(spark):
 
 
 def test_opening_range(spark):
-    def bar(k, o, h, lo, c):
-        return ("S", T0 + dt.timedelta(minutes=5 * k), float(o), float(h), float(lo), float(c), 1.0)
+    def bar(k, o, h, lo, c, day=0):
+        return ("S", T0 + dt.timedelta(days=day, minutes=5 * k), float(o), float(h), float(lo), float(c), 1.0)
 
+    rules, config = opening_range.OpeningRange(), BacktestConfig()
     rows = [bar(0, 100, 101, 99, 100), bar(1, 101, 102, 101, 101.5), bar(2, 102, 102, 101.2, 101.8), bar(3, 102, 102, 100.9, 101.4), bar(4, 101.4, 101.6, 101, 101.2), bar(5, 101, 107, 101, 106)]
-    t = run_custom(frame(spark, rows), ["symbol"], custom.OpeningRange, BacktestConfig()).collect()
+    t = rules.trades(frame(spark, rows), config).collect()
     assert [(r.side, r.entry_price, r.exit_reason, r.signal_label) for r in t] == [("long", pytest.approx(101.41), "target", "long_retest")]
     assert t[0].exit_price == pytest.approx(101.4 + 2 * (101.4 - 99) - 0.01)
-    free = run_custom(frame(spark, rows), ["symbol"], custom.OpeningRange, BacktestConfig(realistic_fills=False)).first()
+    free = rules.trades(frame(spark, rows), BacktestConfig(realistic_fills=False)).first()
     assert free.exit_price == pytest.approx(t[0].exit_price + 0.01)  # slippage on a target is all that differs
     fall = [*rows[:5], bar(5, 101, 101, 98, 98)]
-    assert run_custom(frame(spark, fall), ["symbol"], custom.OpeningRange, BacktestConfig()).first().exit_price == pytest.approx(98.99)
-
-
-def test_trailing_stop_never_falls():
-    s = custom.trailing_dip_buyer(rsi_len=2, oversold=50.0, trend_len=3, atr_len=2, use_trend=False, max_bars=50, rsi_exit=99.0, atr_mult=3.0)
-    e = Engine(s, BacktestConfig(sessions=False))
-    stops = []
-    for i, c in enumerate([50, 49, 48, 47, 48, 47.8, 49, 48.8, 50, 49.8, 51, 50.8]):
-        list(e.feed(Bar(dt.datetime(2024, 1, 1) + dt.timedelta(days=i), c, c + 0.2, c - 0.2, c, 1.0)))
-        if e.position:
-            stops.append(e.position.stop)
-    assert len(stops) > 2 and stops == sorted(stops)
+    assert rules.trades(frame(spark, fall), config).first().exit_price == pytest.approx(98.99)
+    # an order of a session that ends early fills with the next session's first bar, and ends with that session
+    short = [*rows[:4], bar(0, 103, 103.5, 102, 103, day=1), bar(1, 103, 103.2, 102.5, 102.9, day=1), bar(0, 50, 51, 49, 50, day=2)]
+    t = rules.trades(frame(spark, short), config).collect()
+    assert [(r.entry_price, r.exit_price, r.exit_reason, r.exit_ts.day) for r in t] == [(pytest.approx(103.01), pytest.approx(102.89), "eod", T0.day + 1)]
+    act = rules.activity(frame(spark, short), config).first()
+    assert (act.n_bars, act.n_orders, act.n_trades, act.longest_window) == (7, 1, 1, 4)
+    gaps = [r if i != 2 else (*r[:2], None, None, None, None, None) for i, r in enumerate(rows)]
+    assert rules.trades(frame(spark, gaps), config).count() == 0  # a bar of nulls ends the row of closes beyond
+    none = frame(spark, rows).limit(0)
+    assert rules.trades(none, config).count() == rules.activity(none, config).count() == 0
+
+
+def dip_brute(closes, p):
+    """(entry, exit, level, reason) of dips by their places in a series whose highs and lows are 0.2 off the closes."""
+    n, found, i = len(closes), [], 0
+    rsi = lambda i: last_rsi([closes[j + 1] - closes[j] for j in range(i - p["rsi_len"], i)]) if i >= p["rsi_len"] else None
+    span = lambda i: sum(max(0.4, abs(closes[j] + 0.2 - closes[j - 1]), abs(closes[j] - 0.2 - closes[j - 1])) for j in range(i - p["atr_len"] + 1, i + 1)) / p["atr_len"] if i >= p["atr_len"] else None
+    while i < n - 1:
+        r, a = rsi(i), span(i)
+        if r is None or a is None or r >= p["oversold"] or closes[i] - p["atr_mult"] * a <= 0:
+            i += 1
+            continue
+        stop, peak = closes[i] - p["atr_mult"] * a, closes[i] + 0.2
+        for j in range(i + 1, n):
+            if closes[j] - 0.2 <= stop:
+                found.append((i + 1, j, stop, "stop"))
+                i = j
+                break
+            peak = max(peak, closes[j] + 0.2)
+            if p["trailing"]:
+                stop = max(stop, peak - p["atr_mult"] * span(j))
+            if j - i >= p["max_bars"] or (rsi(j) > p["rsi_exit"] and (rsi(j - 1) is None or rsi(j - 1) <= p["rsi_exit"])):
+                found.append((i + 1, j, closes[j], "signal"))
+                i = j + 1
+                break
+        else:
+            found.append((i + 1, n - 1, closes[-1], "eod"))
+            i = n
+    return found
+
+
+def last_rsi(steps):
+    loss = sum(max(-x, 0.0) for x in steps) / len(steps)
+    return 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + sum(max(x, 0.0) for x in steps) / len(steps) / loss)
+
+
+@pytest.mark.parametrize("trailing", [False, True])
+def test_dips_against_a_loop(spark, trailing):
+    rng = np.random.default_rng(11)
+    closes = [float(x) for x in np.round(50 + np.cumsum(rng.normal(0, 0.6, 300)), 2)]
+    rows = [("S", dt.datetime(2023, 1, 1) + dt.timedelta(days=i), c, c + 0.2, c - 0.2, c, 1.0) for i, c in enumerate(closes)]
+    rules = dips.DipBuyer(rsi_len=3, oversold=35.0, rsi_exit=80.0, use_trend=False, atr_len=4, atr_mult=0.9, max_bars=6, trailing=trailing)
+    want = dip_brute(closes, rules.p)
+    for size in (25, 50_000):  # chunks change nothing
+        t = rules.trades(frame(spark, rows), BacktestConfig(sessions=False, slippage=0.0), rows=size).orderBy("entry_ts").collect()
+        assert [((r.entry_ts - rows[0][1]).days, (r.exit_ts - rows[0][1]).days, r.exit_reason) for r in t] == [(a, b, why) for a, b, _, why in want]
+        assert [r.exit_price for r in t] == pytest.approx([x for _, _, x, _ in want])
+    assert len(want) > 15 and {"stop", "signal"} <= {w[3] for w in want}
+
+
+def test_dips_above_an_exponential_average(spark):
+    rows = daily([100 + i for i in range(30)] + [128.5, 128.2, 131, 132], start=dt.datetime(2024, 1, 1))
+    for kind in ("sma", "ema"):
+        t = dips.DipBuyer(trend_len=10, trend_type=kind, atr_len=3, max_bars=2).trades(frame(spark, rows), BacktestConfig(sessions=False))
+        assert t.count() == 1
+    assert dips.DipBuyer(trend_len=10).trades(frame(spark, rows).limit(0), BacktestConfig(sessions=False)).count() == 0
 
 
 def test_parameters():
     for bad in ({"rsi_len": 0}, {"rsi_len": 2.5}, {"nope": 1}, {"trailing": 1}):
         with pytest.raises(ValueError):
-            custom.DipBuyer(**bad)
+            dips.DipBuyer(**bad)
     with pytest.raises(ValueError):
-        custom.OpeningRange(stop_mode="x")
+        opening_range.OpeningRange(stop_mode="x")
     with pytest.raises(TypeError):
         type("Nameless", (custom.Strategy,), {})()
 

@@ -1,9 +1,9 @@
-"""Custom strategies for the streamed fold: the plug-in base and four examples."""
+"""Declared parameters, and the plug-in base of custom strategies for the streamed fold, with one example."""
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from tidemark.operators.backtest import Bar, Entry, Exit, Position
@@ -31,12 +31,11 @@ class Parameter:
         return v
 
 
-class Strategy:
-    """Base of custom strategies; subclasses declare ``parameters`` and ``timeframes`` and answer ``on_bar``."""
+class Declared:
+    """Rules with declared ``parameters`` (checked, in ``p``) and ``timeframes``."""
 
     parameters: dict[str, Parameter] = {}
     timeframes: tuple[str, ...] = ()
-    keep = 200
 
     def __init__(self, **given: Any):
         if not self.timeframes:  # not at class creation, as pickling by value makes classes bit by bit
@@ -46,6 +45,12 @@ class Strategy:
             raise ValueError(f"unknown parameters {sorted(unknown)}")
         self.p = {n: p.check(n, given.get(n, p.default)) for n, p in self.parameters.items()}
 
+
+class Strategy(Declared):
+    """Base of custom strategies; subclasses declare ``parameters`` and ``timeframes`` and answer ``on_bar``."""
+
+    keep = 200
+
     def on_session_start(self, ts: dt.datetime) -> None: ...
 
     def on_trade_closed(self, trade: tuple) -> None: ...
@@ -54,25 +59,6 @@ class Strategy:
         raise NotImplementedError
 
 
-def _mean(x: list[float]) -> float:
-    return sum(x) / len(x)
-
-
-def rsi(closes: list[float], n: int) -> float | None:
-    if len(closes) < n + 1:
-        return None
-    steps = [b - a for a, b in zip(closes[-n - 1 : -1], closes[-n:])]
-    loss = _mean([max(-s, 0.0) for s in steps])
-    return 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + _mean([max(s, 0.0) for s in steps]) / loss)
-
-
-def atr(bars: list[Bar], n: int) -> float | None:
-    if len(bars) < n + 1:
-        return None
-    pairs = zip(bars[-n - 1 : -1], bars[-n:])
-    return _mean([max(b.high - b.low, abs(b.high - a.close), abs(b.low - a.close)) for a, b in pairs])
-
-
 class BuyAndHold(Strategy):
     """Enter once, at the first possible bar, and hold."""
 
@@ -87,137 +73,3 @@ class BuyAndHold(Strategy):
             return []
         self.done = True
         return [Entry("long", label="hold")]
-
-
-class DipBuyer(Strategy):
-    """Buy when a short RSI is low above a long average; leave when it recovers, after some bars, or by an ATR stop.
-
-    With ``trailing`` the stop follows the highest high since entry, and never falls.
-    """
-
-    timeframes = ("1d",)
-    parameters = {
-        "rsi_len": Parameter(2, 1, 50), "oversold": Parameter(10.0, 1, 50), "rsi_exit": Parameter(70.0, 20, 99),
-        "trend_len": Parameter(200, 2, 400), "use_trend": Parameter(True), "atr_mult": Parameter(2.5, 0.1, 10),
-        "atr_len": Parameter(14, 1, 100), "max_bars": Parameter(10, 1, 100), "trailing": Parameter(False),
-    }
-
-    def __init__(self, **given: Any):
-        super().__init__(**given)
-        p = self.p
-        self.keep = max(p["trend_len"], p["atr_len"] + 1, p["rsi_len"] + 1) + 5
-        self.age, self.peak = 0, 0.0
-
-    def on_bar(self, bar: Bar, position: Position | None, history: list[Bar]) -> list[Entry | Exit]:
-        p = self.p
-        closes = [b.close for b in history]
-        r, a = rsi(closes, p["rsi_len"]), atr(history, p["atr_len"])
-        if position is None:
-            self.age = 0
-            trend = _mean(closes[-p["trend_len"] :]) if len(closes) >= p["trend_len"] else None
-            if r is None or a is None or (p["use_trend"] and trend is None):
-                return []
-            stop = bar.close - p["atr_mult"] * a
-            if r >= p["oversold"] or (p["use_trend"] and bar.close <= trend) or stop <= 0:
-                return []
-            self.peak = bar.high
-            return [Entry("long", stop=stop, label="dip")]
-        self.age += 1
-        self.peak = max(self.peak, bar.high)
-        if p["trailing"] and a is not None:
-            position.stop = max(position.stop, self.peak - p["atr_mult"] * a)
-        was = rsi(closes[:-1], p["rsi_len"])
-        recovered = r is not None and r > p["rsi_exit"] and (was is None or was <= p["rsi_exit"])
-        return [Exit("recovered" if recovered else "timeout")] if recovered or self.age >= p["max_bars"] else []
-
-
-def trailing_dip_buyer(**given: Any) -> DipBuyer:
-    """The variant with RSI(8) and a trailing stop of two ATR."""
-    return DipBuyer(**({"rsi_len": 8, "oversold": 30.0, "rsi_exit": 89.0, "atr_mult": 2.0, "max_bars": 5, "trailing": True} | given))
-
-
-@dataclass
-class _Day:
-    """What the opening-range strategy knows of the running session."""
-
-    high: float = 0.0
-    low: float = 0.0
-    stage: str = "range"
-    side: str | None = None
-    beyond: int = 0
-    waited: int = 0
-    extra: dict = field(default_factory=dict)
-
-
-class OpeningRange(Strategy):
-    """Breakout of the first bar's range, confirmed by closes beyond it, entered on a retest of its edge."""
-
-    timeframes = ("5m",)
-    parameters = {
-        "stop_mode": Parameter("opposite_bracket", allowed=("opposite_bracket", "midpoint", "fixed_dollar", "pct_move")),
-        "stop_value": Parameter(0.5, 0.0), "rr_ratio": Parameter(2.0, 0.1, 10), "cutoff": Parameter("11:00"),
-        "confirm_bars": Parameter(2, 1, 20), "retest_timeout": Parameter(12, 1), "again": Parameter(True),
-        "momentum": Parameter(False), "momentum_distance": Parameter(0.5, 0.0),
-    }
-    keep = 1
-
-    def __init__(self, **given: Any):
-        super().__init__(**given)
-        self.cutoff = dt.time.fromisoformat(self.p["cutoff"])
-        self.day = _Day()
-
-    def on_session_start(self, ts: dt.datetime) -> None:
-        self.day = _Day()
-
-    def on_trade_closed(self, trade: tuple) -> None:
-        rearm = self.p["again"] and self.day.side is not None
-        self.day.stage, self.day.waited = ("retest" if rearm else "done"), 0
-
-    def on_bar(self, bar: Bar, position: Position | None, history: list[Bar]) -> list[Entry | Exit]:
-        d = self.day
-        if d.stage == "range":
-            d.high, d.low, d.stage = bar.high, bar.low, "confirm"
-            return []
-        if d.stage not in ("confirm", "retest"):
-            return []
-        if bar.ts.time() >= self.cutoff:
-            d.stage = "done"
-            return []
-        return self._confirm(bar) if d.stage == "confirm" else self._retest(bar)
-
-    def _confirm(self, bar: Bar) -> list[Entry | Exit]:
-        d = self.day
-        side = "long" if bar.close > d.high else "short" if bar.close < d.low else None
-        d.beyond = 0 if side is None else d.beyond + 1 if side == d.side else 1
-        d.side = side
-        if d.beyond >= self.p["confirm_bars"]:
-            d.stage, d.waited = "retest", 0
-        return []
-
-    def _retest(self, bar: Bar) -> list[Entry | Exit]:
-        d, p = self.day, self.p
-        if d.waited >= p["retest_timeout"]:
-            d.stage = "done"
-            return []
-        d.waited += 1
-        sign, edge = (1, d.high) if d.side == "long" else (-1, d.low)
-        touch = bar.low if sign == 1 else bar.high
-        beyond = (bar.close - edge) * sign
-        if (touch - edge) * sign <= 0 and beyond > 0:
-            return self._enter(bar.close, sign, "retest")
-        if p["momentum"] and beyond >= p["momentum_distance"] * (d.high - d.low):
-            return self._enter(bar.close, sign, "momentum")
-        return []
-
-    def _enter(self, price: float, sign: int, label: str) -> list[Entry | Exit]:
-        d, v = self.day, self.p["stop_value"]
-        stop = {
-            "opposite_bracket": d.low if sign == 1 else d.high, "midpoint": (d.high + d.low) / 2,
-            "fixed_dollar": price - sign * v, "pct_move": price * (1 - sign * v),
-        }[self.p["stop_mode"]]
-        risk = abs(price - stop)
-        if risk <= 0:
-            d.stage = "done"
-            return []
-        d.stage = "trade"
-        return [Entry("long" if sign == 1 else "short", stop, price + sign * risk * self.p["rr_ratio"], f"{d.side}_{label}")]

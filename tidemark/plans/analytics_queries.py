@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dsl
 from tidemark.functions.indicators import Indicator, add_indicators, bar_window, over_long_series
-from tidemark.operators import custom, metrics, quality, scoring, significance, walkforward
+from tidemark.operators import custom, dips, metrics, opening_range, quality, scoring, significance, walkforward
 from tidemark.operators.backtest import BacktestConfig, backtest_signals, run_custom
 from tidemark.operators.resample import resample, ticks_to_bars
 from tidemark.plans import pipeline
@@ -222,15 +222,25 @@ def q_holdout_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_opening_range(spark: SparkSession, d: str) -> DataFrame:
-    return run_custom(session_bars(spark, d), ["symbol"], custom.OpeningRange, INTRADAY)
+    return _custom_trades(opening_range.OpeningRange().trades(session_bars(spark, d), INTRADAY))
+
+
+def q_opening_momentum(spark: SparkSession, d: str) -> DataFrame:
+    """The opening range with the other ways to enter and to stop."""
+    rules = opening_range.OpeningRange(momentum=True, stop_mode="midpoint", confirm_bars=1, cutoff="15:00", retest_timeout=6)
+    return _custom_trades(rules.trades(session_bars(spark, d), INTRADAY))
+
+
+def _custom_trades(t: DataFrame) -> DataFrame:
+    return _rounded(t.select(*TRADE_COLS, "signal_label"), "entry_price", "exit_price", "pnl", "pnl_pct", places=5)
 
 
 def q_dip_buyer(spark: SparkSession, d: str) -> DataFrame:
-    return run_custom(daily_bars(spark, d), ["symbol"], lambda: custom.DipBuyer(trend_len=50, atr_mult=0.5), DAILY)
+    return _custom_trades(dips.DipBuyer(trend_len=50, atr_mult=0.5).trades(daily_bars(spark, d), DAILY))
 
 
 def q_trailing_dip_buyer(spark: SparkSession, d: str) -> DataFrame:
-    return run_custom(daily_bars(spark, d), ["symbol"], lambda: custom.trailing_dip_buyer(trend_len=50, oversold=45.0, atr_mult=0.5), DAILY)
+    return _custom_trades(dips.trailing_dip_buyer(trend_len=50, oversold=45.0, atr_mult=0.5).trades(daily_bars(spark, d), DAILY))
 
 
 def q_buy_and_hold(spark: SparkSession, d: str) -> DataFrame:
@@ -239,8 +249,7 @@ def q_buy_and_hold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_engine_activity(spark: SparkSession, d: str) -> DataFrame:
-    e = run_custom(session_bars(spark, d), ["symbol"], custom.OpeningRange, INTRADAY, equity=True)
-    return e.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.count_if("in_position").alias("bars_in_position"), F.max("n_orders").alias("n_orders"))
+    return opening_range.OpeningRange().activity(session_bars(spark, d), INTRADAY)
 
 
 def q_session_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -477,6 +486,67 @@ _STREAM = """WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hou
   FROM events GROUP BY 1, 2)
 SELECT * FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
 
+# the state of a dip buyer: flat 0, order 1, position 2
+def _dips(n: int, low: float, high: float, trend: int, mult: float, most: int, trailing: bool) -> str:
+    raised = f"greatest(s.stop, s.peak - {mult} * s.rng)" if trailing else "s.stop"
+    return f"""WITH RECURSIVE {DAILY_SQL}, st AS (SELECT *, row_number() OVER {_W} AS rn, close - lag(close) OVER {_W} AS ch, lag(close) OVER {_W} AS pc FROM bars),
+v AS (SELECT *, {_RSI(n)} AS osc, CASE WHEN rn >= 15 THEN avg(greatest(high - low, abs(high - pc), abs(low - pc))) OVER {_ROWS(14)} END AS rng, CASE WHEN rn >= {trend} THEN avg(close) OVER {_ROWS(trend)} END AS trend FROM st),
+w AS (SELECT *, lag(osc) OVER {_W} AS was, close - {mult} * rng AS level FROM v),
+f AS (SELECT *, coalesce(osc < {low} AND close > trend AND level > 0, FALSE) AS el, coalesce(osc > {high} AND (was IS NULL OR was <= {high}), FALSE) AS xl FROM w),
+run AS (
+  SELECT symbol, rn, CASE WHEN el THEN 1 ELSE 0 END AS st, level AS stop, high AS peak, 0 AS age, NULL::TIMESTAMP AS ets, NULL::DOUBLE AS eop, NULL::VARCHAR AS why, NULL::DOUBLE AS lvl, ts, close FROM f WHERE rn = 1
+  UNION ALL
+  SELECT symbol, rn, CASE WHEN s.held AND NOT s.stopped THEN CASE WHEN s.gone THEN 0 ELSE 2 END WHEN s.el THEN 1 ELSE 0 END,
+    CASE WHEN s.held AND NOT s.stopped THEN {raised} ELSE s.level END, CASE WHEN s.held AND NOT s.stopped THEN s.peak ELSE s.high END,
+    CASE WHEN s.held AND NOT s.stopped THEN s.age ELSE 0 END, s.ets, s.eop, CASE WHEN s.stopped THEN 'stop' WHEN s.held AND s.gone THEN 'signal' END, CASE WHEN s.stopped THEN s.stop ELSE s.close END, s.ts, s.close
+  FROM (SELECT f.symbol, f.rn, f.el, f.level, f.high, f.ts, f.close, f.rng, r.stop, r.st > 0 AS held, r.st > 0 AND f.low <= r.stop AS stopped, r.age + 1 AS age, greatest(r.peak, f.high) AS peak,
+    f.xl OR r.age + 1 >= {most} AS gone, CASE WHEN r.st = 1 THEN f.ts ELSE r.ets END AS ets, CASE WHEN r.st = 1 THEN f.open ELSE r.eop END AS eop
+    FROM run r JOIN f ON f.symbol = r.symbol AND f.rn = r.rn + 1) s),
+ends AS (SELECT symbol, max(rn) AS z FROM f GROUP BY 1),
+raw AS (SELECT symbol, ets, eop, ts, lvl, why FROM run WHERE why IS NOT NULL UNION ALL SELECT symbol, ets, eop, ts, close, 'eod' FROM run JOIN ends USING (symbol) WHERE rn = z AND st = 2),
+trades AS (SELECT symbol, 'long' AS side, 1 AS size, ets AS entry_ts, eop + 0.01 AS entry_price, ts AS exit_ts, lvl - 0.01 AS exit_price, why AS exit_reason, lvl - eop - 0.02 AS pnl,
+  (lvl - eop - 0.02) / (eop + 0.01) AS pnl_pct, CAST(date_diff('minute', ets, ts) AS INT) AS duration_mins, 'dip' AS signal_label FROM raw)
+SELECT symbol, side, size, entry_ts, exit_ts, exit_reason, duration_mins, signal_label, {_R('entry_price', 'exit_price', 'pnl', 'pnl_pct', n=5)} FROM trades"""
+
+
+# the opening range bar by bar: a fills, b exits, c is the bar's place in the session's phases (0 first bar, 1 breakout, 2 retest, 3 trade, 4 over)
+def _opening(select: str, *, momentum: bool = False, stop: str = "far", confirm: int = 2, cutoff: str = "11:00", timeout: int = 12) -> str:
+    return f"""WITH RECURSIVE {SESSION_SQL},
+f AS (SELECT *, row_number() OVER {_W} AS n, CAST(ts AS DATE) AS day, CAST(lag(ts) OVER {_W} AS DATE) IS DISTINCT FROM CAST(ts AS DATE) AS fresh, CAST(lead(ts) OVER {_W} AS DATE) IS DISTINCT FROM CAST(ts AS DATE) AS final,
+  strftime(ts, '%H:%M') >= '{cutoff}' AS late, strftime(ts, '%H:%M') >= '15:50' AS ending FROM bars),
+run AS (
+  SELECT symbol, 0::BIGINT AS n, 0 AS phase, NULL::DOUBLE AS top, NULL::DOUBLE AS flo, 0 AS trend, 0 AS beyond, 0 AS waits, 0 AS oside, NULL::DOUBLE AS ostop, NULL::DOUBLE AS otarget, NULL::VARCHAR AS olabel,
+    0 AS side, NULL::DOUBLE AS stop, NULL::DOUBLE AS target, NULL::VARCHAR AS label, NULL::TIMESTAMP AS ets, NULL::DOUBLE AS eop, NULL::VARCHAR AS why, NULL::DOUBLE AS lvl, 0 AS was, NULL::TIMESTAMP AS ts, FALSE AS held, 0 AS ordered FROM (SELECT DISTINCT symbol FROM f)
+  UNION ALL
+  SELECT symbol, n, phase3, top3, flo3, trend3, beyond3, waits3,
+    CASE WHEN closes THEN 0 WHEN enters AND left_side = 0 THEN trend3 ELSE oside2 END, CASE WHEN enters AND left_side = 0 THEN far ELSE ostop END, CASE WHEN enters AND left_side = 0 THEN close + trend3 * risk * 2.0 ELSE otarget END,
+    CASE WHEN enters AND left_side = 0 THEN CASE WHEN trend3 > 0 THEN 'long_' ELSE 'short_' END || CASE WHEN touched THEN 'retest' ELSE 'momentum' END ELSE olabel END,
+    CASE WHEN closes THEN 0 ELSE left_side END, stop2, target2, label2, ets2, eop2, CASE WHEN why2 IS NOT NULL THEN why2 WHEN closes THEN 'eod' END, CASE WHEN why2 IN ('stop', 'target') THEN lvl2 ELSE close END, side2, ts, left_side <> 0, CAST(enters AS INT)
+  FROM (SELECT *, CASE WHEN enters THEN 3 WHEN phase_w = 2 AND flat_risk THEN 4 ELSE phase_w END AS phase3, final AND left_side <> 0 AS closes FROM (
+    SELECT *, abs(close - far) AS risk, hits AND abs(close - far) > 0 AS enters, hits AND NOT abs(close - far) > 0 AS flat_risk FROM (
+    SELECT *, watching AND (touched OR quick) AS hits, {{"far": "CASE WHEN trend3 > 0 THEN flo3 ELSE top3 END", "midpoint": "(top3 + flo3) / 2"}}[STOP] AS far FROM (
+    SELECT *, watching AND past > 0 AND CASE WHEN trend3 > 0 THEN low <= top3 ELSE high >= flo3 END AS touched, {str(momentum).upper()} AND watching AND past >= 0.5 * (top3 - flo3) AS quick FROM (
+    SELECT *, CASE WHEN trend3 > 0 THEN close - top3 ELSE flo3 - close END AS past, phase2 = 2 AND NOT late AND waits2 < {timeout} AS watching,
+      CASE WHEN phase2 = 2 AND NOT late AND waits2 < {timeout} THEN waits2 + 1 WHEN phase2 = 1 AND beyond3 >= {confirm} THEN 0 ELSE waits2 END AS waits3,
+      CASE WHEN phase2 = 0 THEN 1 WHEN phase2 IN (1, 2) AND late THEN 4 WHEN phase2 = 1 AND beyond3 >= {confirm} THEN 2 WHEN phase2 = 2 AND waits2 >= {timeout} THEN 4 ELSE phase2 END AS phase_w FROM (
+    SELECT *, CASE WHEN phase2 = 0 THEN high ELSE top END AS top3, CASE WHEN phase2 = 0 THEN low ELSE flo END AS flo3, CASE WHEN phase2 = 1 AND NOT late THEN sgn ELSE trend2 END AS trend3,
+      CASE WHEN phase2 = 1 AND NOT late THEN CASE WHEN sgn = 0 THEN 0 WHEN sgn = trend2 THEN beyond2 + 1 ELSE 1 END ELSE beyond2 END AS beyond3 FROM (
+    SELECT *, CASE WHEN close > top THEN 1 WHEN close < flo THEN -1 ELSE 0 END AS sgn, CASE WHEN why2 IS NULL THEN side2 ELSE 0 END AS left_side, CASE WHEN why2 = 'eod' THEN 0 ELSE oside1 END AS oside2,
+      CASE WHEN why2 IS NULL THEN phase1 WHEN trend2 <> 0 THEN 2 ELSE 4 END AS phase2, CASE WHEN why2 IS NULL THEN waits1 ELSE 0 END AS waits2 FROM (
+    SELECT *, CASE WHEN side2 > 0 AND low <= stop2 OR side2 < 0 AND high >= stop2 THEN 'stop' WHEN side2 > 0 AND high >= target2 OR side2 < 0 AND low <= target2 THEN 'target' WHEN side2 <> 0 AND ending THEN 'eod' END AS why2,
+      CASE WHEN side2 > 0 AND low <= stop2 OR side2 < 0 AND high >= stop2 THEN stop2 ELSE target2 END AS lvl2 FROM (
+    SELECT f.*, CASE WHEN fresh THEN 0 ELSE phase END AS phase1, CASE WHEN fresh THEN 0 ELSE waits END AS waits1, CASE WHEN fresh THEN 0 ELSE trend END AS trend2, CASE WHEN fresh THEN 0 ELSE beyond END AS beyond2,
+      r.top, r.flo, r.ostop, r.otarget, r.olabel, CASE WHEN oside <> 0 AND side = 0 THEN oside ELSE side END AS side2, CASE WHEN oside <> 0 AND side = 0 THEN ostop ELSE stop END AS stop2,
+      CASE WHEN oside <> 0 AND side = 0 THEN otarget ELSE target END AS target2, CASE WHEN oside <> 0 AND side = 0 THEN olabel ELSE label END AS label2, CASE WHEN oside <> 0 AND side = 0 THEN f.ts ELSE ets END AS ets2,
+      CASE WHEN oside <> 0 AND side = 0 THEN f.open ELSE eop END AS eop2, CASE WHEN side = 0 THEN 0 ELSE oside END AS oside1
+    FROM run r JOIN f ON f.symbol = r.symbol AND f.n = r.n + 1)))))))))),
+trades AS (SELECT symbol, CASE WHEN was > 0 THEN 'long' ELSE 'short' END AS side, 1 AS size, ets AS entry_ts, eop + was * 0.01 AS entry_price, ts AS exit_ts, lvl - was * 0.01 AS exit_price, why AS exit_reason,
+  (lvl - eop - was * 0.02) * was AS pnl, (lvl - eop - was * 0.02) * was / (eop + was * 0.01) AS pnl_pct, CAST(date_diff('second', ets, ts) // 60 AS INT) AS duration_mins, label AS signal_label FROM run WHERE why IS NOT NULL)
+{select}""".replace('{"far": "CASE WHEN trend3 > 0 THEN flo3 ELSE top3 END", "midpoint": "(top3 + flo3) / 2"}[STOP]', {"far": "CASE WHEN trend3 > 0 THEN flo3 ELSE top3 END", "midpoint": "(top3 + flo3) / 2"}[stop])
+
+
+_CUSTOM_SELECT = f"SELECT symbol, side, size, entry_ts, exit_ts, exit_reason, duration_mins, signal_label, {_R('entry_price', 'exit_price', 'pnl', 'pnl_pct', n=5)} FROM trades"
+
 SQL = {
     "q_daily_bars": f"WITH {DAILY_SQL} SELECT symbol, ts, {_OHLCV} FROM bars",
     "q_session_bars": f"WITH {SESSION_SQL} SELECT symbol, ts, {_OHLCV} FROM bars",
@@ -515,6 +585,12 @@ SELECT symbol, (SELECT count(*) FROM trades t WHERE t.symbol = pk.symbol) AS tot
     "q_buy_and_hold": f"""WITH {DAILY_SQL}, x AS (SELECT symbol, 'long' AS side, 1 AS size, list(ts ORDER BY ts)[2] AS entry_ts, list(open ORDER BY ts)[2] + 0.01 AS entry_price, max(ts) AS exit_ts,
   arg_max(close, ts) - 0.01 AS exit_price, 'eod' AS exit_reason FROM bars GROUP BY 1 HAVING count(*) > 1),
 trades AS (SELECT *, exit_price - entry_price AS pnl, (exit_price - entry_price) / entry_price AS pnl_pct, CAST(date_diff('minute', entry_ts, exit_ts) AS INT) AS duration_mins FROM x) SELECT {_TRADE_SELECT} FROM trades""",
+    "q_dip_buyer": _dips(2, 10.0, 70.0, 50, 0.5, 10, False),
+    "q_trailing_dip_buyer": _dips(8, 45.0, 89.0, 50, 0.5, 5, True),
+    "q_opening_range": _opening(_CUSTOM_SELECT),
+    "q_opening_momentum": _opening(_CUSTOM_SELECT, momentum=True, stop="midpoint", confirm=1, cutoff="15:00", timeout=6),
+    "q_engine_activity": _opening("""SELECT symbol, count(*) AS n_bars, count(*) FILTER (held AND NOT closed_now) AS bars_in_position, CAST(sum(ordered) AS BIGINT) AS n_orders, count(*) FILTER (why IS NOT NULL) AS n_trades,
+  max(longest) AS longest_window FROM (SELECT *, FALSE AS closed_now FROM run WHERE n > 0) JOIN (SELECT symbol, max(k) AS longest FROM (SELECT symbol, day, count(*) AS k FROM f GROUP BY 1, 2) GROUP BY 1) USING (symbol) GROUP BY 1"""),
     "q_session_gaps": f"""WITH {SESSION_SQL}, g AS (SELECT symbol, CAST(ts AS DATE) AS day, ts, lag(ts) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts) AS p FROM bars)
 SELECT symbol, CAST(day AS VARCHAR) AS day, count(*) AS n_bars, count(*) FILTER (date_diff('second', p, ts) > 600) AS n_gaps, count(*) FILTER (minute(ts) % 5 <> 0 OR second(ts) <> 0) AS n_unaligned FROM g GROUP BY symbol, g.day""",
     "q_violations": """WITH k AS (SELECT feed, time, count(*) AS n, sum(CASE WHEN open IS NULL OR open::VARCHAR = 'nan' OR high IS NULL OR high::VARCHAR = 'nan' OR low IS NULL OR low::VARCHAR = 'nan' OR close IS NULL OR close::VARCHAR = 'nan' THEN 1 ELSE 0 END) AS bad FROM bars_5m GROUP BY 1, 2)
