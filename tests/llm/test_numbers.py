@@ -148,14 +148,20 @@ def brute(texts):
     return out
 
 
-def test_matches_are_those_of_brute_force(spark):
+def test_matches_are_those_of_brute_force(spark, tmp_path):
     texts = corpus(random.Random(3))
-    rows = pivots.pivot_rows(frame(spark, texts)).cache()
-    got = {(r.id_a, r.id_b) for r in pivots.matches(rows, rows).collect()}
-    assert got == brute(texts) and len(got) > 100
-
-
-def test_batches_against_history(spark, tmp_path):
+    found, _ = pivots.History(spark, str(tmp_path / "empty")).check(frame(spark, texts))
+    got = [(r.id_a, r.id_b) for r in found.collect()]
+    assert set(got) == brute(texts) and len(got) == len(set(got)) > 100
+    d = frame(spark, texts).withColumn("batch_no", F.when(F.col("strategy_id") % 9 > 0, F.floor(F.col("strategy_id") / 13).cast("int")))
+    for steps in (1, 3):
+        again = [(r.id_a, r.id_b) for r in pivots.in_batches(d, steps).collect()]
+        assert sorted(again) == sorted(got)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_batches_against_history(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(pivots, "BROADCAST_ROWS", few)
     texts = corpus(random.Random(4))
     random.Random(5).shuffle(texts)
     history, got = pivots.History(spark, str(tmp_path / "pivots")), set()
@@ -165,14 +171,37 @@ def test_batches_against_history(spark, tmp_path):
         history.append(rows)
     assert got == brute(texts)
     assert history.accepted().count() == sum(t is not None for t in texts)
+    stored = history.index()
+    assert stored.count() == stored.select("class", "block").distinct().count() == 3 * stored.select("class").distinct().count()
+
+
+def written(spark, action):
+    """Records that shuffles wrote during an action."""
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in spark.sparkContext.statusTracker().getJobIdsForGroup(None)[: -before or None] for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_the_shuffle_of_a_batch_does_not_grow_with_history(spark, tmp_path):
+    texts = [json.dumps(spec(random.Random(i))) for i in range(600)]
+    batch = frame(spark, [layout(random.Random(1), json.loads(t)) for t in texts[:20]], 10_001)
+    sizes = []
+    for n in (40, 560):
+        history = pivots.History(spark, str(tmp_path / f"h{n}"))
+        _, rows = history.check(frame(spark, texts[:n]))
+        history.append(rows)
+        sizes.append(written(spark, lambda h=history: h.check(batch)[0].collect()))
+    assert 0 < sizes[1] <= sizes[0] * 1.3, sizes
 
 
 def test_repeated_keys_and_empty(spark):
     g = spark.createDataFrame([(3, "AB"), (1, " ab"), (2, "sha256:ab"), (4, None), (5, "x"), (6, None)], "id long, prompt_hash string")
     assert {tuple(r) for r in pivots.repeated_keys(g, "id", "prompt_hash").collect()} == {(1, 2), (1, 3)}
     e = frame(spark, [])
-    rows = pivots.pivot_rows(e)
-    assert pivots.matches(rows, rows).count() == 0 and pivots.strategy_links(e).count() == 0
+    assert pivots.in_batches(e).count() == 0 and pivots.strategy_links(e).count() == 0
 
 
 def test_links(spark):

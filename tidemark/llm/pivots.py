@@ -8,12 +8,13 @@ bits of a token's hash, within each of ``max_changes + 1`` blocks of paths; the
 a pivot is, up to a constant, the count of its tokens with that bit.  They need no data, so
 stored rows stay valid for ever.
 
-The distance is the sum of its parts over the blocks, so of two trees within ``max_changes`` at
-least one block agrees wholly, and there the triangle inequality allows only equal pivot
-distances; over all blocks the largest differences may add up to ``max_changes``.  The pivot
-distances of a block, packed into one sortable number, are with the shape the key of the join,
-and the order in which stored rows are range-partitioned; survivors are verified by the true
-distance.  Equal trees are one class and are joined once.
+The distance is the sum of its parts over the blocks.  So of two trees within ``max_changes`` at
+least one block agrees wholly, where the triangle inequality allows only equal pivot distances, and in the
+others the distances to a pivot, each an integer, differ by ``max_changes`` in all: they lie on one of thirteen
+places around the tree's own.  The table stores a tree once per block, under a key of the shape, the block's
+distances and the others' distances to their first pivots; a new tree looks up the thirteen places of each block.  The table is
+partitioned by ranges of the key, and a batch reads the ranges it falls in.  The inequality for all other pivots
+then prunes the pairs, and survivors are verified by the true distance.  Equal trees are one class and are joined once.
 """
 
 from __future__ import annotations
@@ -21,26 +22,36 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.percentiles import hash_key
-from tidemark.session import cut
+from tidemark.session import cut, ensure_checkpoint_dir
 
 BLOCKS, PIVOTS = 3, 8
 MAX_CHANGES = BLOCKS - 1
 FAR = 99
 DROPPED_TOP, DROPPED = {"name", "thesis"}, {"description", "descriptions"}
+#: Ranges of keys by which the stored table is partitioned.
+RANGES = 16
+#: A batch's keys are broadcast if there are no more rows of them (some 250 bytes each); beyond, both sides are shuffled.
+BROADCAST_ROWS = 100_000
 PIVOT_COLUMNS = [f"d{b}_{j}" for b in range(BLOCKS) for j in range(PIVOTS)]
 CELLS = [f"cell{b}" for b in range(BLOCKS)]
 PIVOT_ROW = (
     "row_id long, class string, shape long, canon string, "
     + ", ".join(f"{c} long" for c in CELLS) + ", " + ", ".join(f"{c} int" for c in PIVOT_COLUMNS)
 )
+#: The places that distances in the two other blocks can have, which differ by MAX_CHANGES in all.
+PLACES = [p for p in itertools.product(range(-MAX_CHANGES, MAX_CHANGES + 1), repeat=BLOCKS - 1) if sum(map(abs, p)) <= MAX_CHANGES]
+#: For each eight bits of a hash, what they add to the distances of a block's pivots, sixteen bits apart.
+_SPREAD = [sum((h >> j & 1) << 16 * j for j in range(8)) for h in range(256)]
 
 
 def _text(x: Any) -> str:
@@ -48,7 +59,8 @@ def _text(x: Any) -> str:
 
 
 def _hash(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def canonical(spec: str) -> Any:
@@ -190,16 +202,14 @@ def _pivot_row(row_id: int, spec: str | None) -> tuple | None:
         return (row_id, "t" + hashlib.md5(spec.encode("utf-8", "surrogatepass")).hexdigest(), None, None, *none)
     found = list(leaves(tree))
     block = {p: i % BLOCKS for i, p in enumerate(sorted({p for p, _ in found}))}
-    counts = [[0] * PIVOTS for _ in range(BLOCKS)]
+    sums = [0] * BLOCKS
     for path, value in found:
         if value is not None:
-            h, own = _hash(f"{path}={value}"), counts[block[path]]
-            for j in range(PIVOTS):
-                own[j] += h >> j & 1
-    own_shape = _hash(form)
+            sums[block[path]] += _SPREAD[_hash(f"{path}={value}") & 255]
+    counts = [[x >> 16 * j & 0xFFFF for j in range(PIVOTS)] for x in sums]
     # the distances of a block side by side, 7 bits each (a capped count still differs by no more than the tree)
-    cells = [sum(min(c, 127) << 7 * j for j, c in enumerate(counts[b])) for b in range(BLOCKS)]
-    return (row_id, "s" + hashlib.md5(canon.encode("utf-8", "surrogatepass")).hexdigest(), own_shape, canon, *cells, *itertools.chain(*counts))
+    cells = [sum(min(c, 127) << 7 * j for j, c in enumerate(own)) for own in counts]
+    return (row_id, "s" + hashlib.md5(canon.encode("utf-8", "surrogatepass")).hexdigest(), _hash(form), canon, *cells, *itertools.chain(*counts))
 
 
 def _schema(rows: str) -> pa.Schema:
@@ -222,26 +232,55 @@ def pivot_rows(specs: DataFrame, id_col: str = "strategy_id", text_col: str = "s
 
 def _classes(rows: DataFrame) -> DataFrame:
     """One row per class; all its rows have the same values."""
-    return rows.where("shape is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ["shape", *CELLS, *PIVOT_COLUMNS]])
+    return rows.where("shape is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ["shape", "canon", *CELLS, *PIVOT_COLUMNS]])
 
 
-def near_classes(new: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(class_new, class_old, distance) of unlike classes within MAX_CHANGES; both are pivot rows."""
-    cells = F.posexplode(F.array(*CELLS)).alias("block", "cell")
-    a = _classes(new).select("*", cells).alias("a")
-    b = _classes(accepted).select("*", cells).alias("b")
+def _others(block: int) -> list[str]:
+    return [f"d{b}_0" for b in range(BLOCKS) if b != block]
+
+
+def index_rows(classes: DataFrame) -> DataFrame:
+    """The table's rows of each class, one for each block: range, key, block, class, shape, cells, distances, canon."""
+    own = F.array(*[F.struct(F.lit(b).alias("block"), F.xxhash64("shape", F.lit(b), f"cell{b}", *_others(b)).alias("key")) for b in range(BLOCKS)])
+    d = classes.withColumn("x", F.explode(own)).select("x.key", "x.block", *[c for c in classes.columns if c != "x"])
+    return d.withColumn("range", _range("key"))
+
+
+def _range(key: str) -> Any:
+    return F.shiftrightunsigned(F.col(key), 64 - RANGES.bit_length() + 1).cast("int")
+
+
+def probes(classes: DataFrame) -> DataFrame:
+    """The keys at which a class looks up others: for each block the places around its own distances in the other blocks."""
+    keys = [
+        F.struct(F.lit(b).alias("block"), F.xxhash64("shape", F.lit(b), f"cell{b}", *[F.col(c) + F.lit(p).cast("int") for c, p in zip(_others(b), place)]).alias("key"))
+        for b in range(BLOCKS) for place in PLACES
+    ]
+    d = classes.drop("canon").withColumn("x", F.explode(F.array(*keys))).select("x.key", "x.block", *[c for c in classes.columns if c not in ("x", "canon")])
+    return d.withColumn("range", _range("key"))
+
+
+def candidates(asking: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """(class_new, class_old, canon_old) of pairs that the triangle inequality allows, equal classes included; each pair once per table row.
+
+    asking: probes; table: index rows; few: whether the probes are few enough to be broadcast.
+    """
+    a, b = asking.alias("a"), table.alias("b")
     gap = lambda blk: F.greatest(*[F.abs(F.col(f"a.d{blk}_{j}") - F.col(f"b.d{blk}_{j}")) for j in range(PIVOTS)])
     bound = sum((gap(k) for k in range(1, BLOCKS)), gap(0)) <= MAX_CHANGES
     # a pair that agrees in several blocks counts in the first of them
     first = F.when(F.col("a.cell0") == F.col("b.cell0"), 0)
     for k in range(1, BLOCKS):
         first = first.when(F.col(f"a.cell{k}") == F.col(f"b.cell{k}"), k)
-    near = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.shape") == F.col("b.shape")) & (F.col("a.block") == F.col("b.block"))
-    pairs = a.join(b, near & (F.col("a.class") != F.col("b.class")) & bound & (F.col("a.block") == first)).select(
-        F.col("a.class").alias("class_new"), F.col("b.class").alias("class_old")
-    )
-    text = lambda d, k: d.where("canon is not null").groupBy(F.col("class").alias(f"class_{k}")).agg(F.first("canon").alias(f"canon_{k}"))
-    both = pairs.join(text(new, "new"), "class_new").join(text(accepted, "old"), "class_old")
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.range") == F.col("b.range")) & (F.col("a.shape") == F.col("b.shape")) & (F.col("a.block") == F.col("b.block"))
+    a = F.broadcast(a) if few else a.hint("merge")
+    return a.join(b, near & bound & (F.col("a.block") == first)).select(F.col("a.class").alias("class_new"), F.col("b.class").alias("class_old"), F.col("b.canon").alias("canon_old"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class_new, class_old, distance) of the candidates of unlike classes within MAX_CHANGES by the true distance."""
+    text = classes.select(F.col("class").alias("class_new"), F.col("canon").alias("canon_new")).hint("merge")
+    both = pairs.where("class_new != class_old").dropDuplicates(["class_new", "class_old"]).join(text, "class_new")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,38 +295,99 @@ def near_classes(new: DataFrame, accepted: DataFrame) -> DataFrame:
     return both.select("class_new", "class_old", "canon_new", "canon_old").mapInArrow(run, "class_new string, class_old string, distance int")
 
 
-def matches(new: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(id_a, id_b, distance): for each new row id_b the accepted rows id_a < id_b it repeats or nearly repeats.
-
-    ``accepted`` holds the new rows too, so that rows of one batch are compared with each other.
-    Rows without text have no match; texts that are no JSON object match equal texts only.
-    """
-    same = new.select(F.col("class").alias("class_new"), F.col("class").alias("class_old")).distinct().withColumn("distance", F.lit(0))
-    links = same.unionByName(near_classes(new, accepted))
-    n = new.select(F.col("row_id").alias("id_b"), F.col("class").alias("class_new"))
-    o = accepted.select(F.col("row_id").alias("id_a"), F.col("class").alias("class_old"))
-    return links.join(n, "class_new").join(o, "class_old").where("id_a < id_b").select("id_a", "id_b", "distance")
+def near_classes(rows: DataFrame) -> DataFrame:
+    """(class_new, class_old, distance) of all unlike classes of the rows within MAX_CHANGES."""
+    classes = _classes(rows)
+    return verified(candidates(probes(classes), index_rows(classes), False), classes)
 
 
 class History:
-    """The stored pivot table: rows are checked against it and appended, batch by batch."""
+    """The stored pivot table: batches are checked against it and appended; what is stored is never rewritten.
+
+    Two parquet tables under ``path``: ``index``, the rows of ``index_rows`` of each class, partitioned by the range of the key, and ``rows``,
+    (row_id, class) of each row, partitioned by the range of the class.  A batch is shuffled alone: it reads the ranges it
+    falls in, with its own keys broadcast (if they are few, by BROADCAST_ROWS), and no stored row moves.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _stored(self, name: str, schema: str) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def index(self) -> DataFrame:
+        stems = ["class string", "shape long", "canon string", *[f"{c} long" for c in CELLS], *[f"{c} int" for c in PIVOT_COLUMNS]]
+        return self._stored("index", ", ".join(["key long", "block int", *stems, "range int"]))
+
     def accepted(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], PIVOT_ROW)
-        return self.spark.read.schema(PIVOT_ROW).parquet(self.path)
+        return self._stored("rows", "row_id long, class string, range int")
+
+    def _touched(self, table: DataFrame, ranges: DataFrame) -> DataFrame:
+        """The partitions of the table that the ranges name; there are at most RANGES."""
+        return table.where(F.col("range").isin([r.range for r in ranges.select("range").distinct().collect()]))
 
     def check(self, batch: DataFrame, id_col: str = "strategy_id", text_col: str = "spec_json") -> tuple[DataFrame, DataFrame]:
-        """(matches of the batch, its pivot rows for append)."""
+        """(matches of the batch, its pivot rows for append).
+
+        Matches are (id_a, id_b, distance), id_a < id_b: pairs of a new row with an accepted or another new one that it repeats or
+        nearly repeats.  Rows without text have none; texts that are no JSON object match equal texts only.
+        """
         new = cut(pivot_rows(batch, id_col, text_col))
-        return matches(new, self.accepted().unionByName(new)), new
+        classes = cut(_classes(new))
+        asking = probes(classes)
+        few = classes.count() * BLOCKS * len(PLACES) <= BROADCAST_ROWS
+        table = self._touched(self.index(), asking).unionByName(index_rows(classes))
+        near = verified(candidates(asking, table, few), classes)
+        same = new.select(F.col("class").alias("class_new"), F.col("class").alias("class_old")).distinct().withColumn("distance", F.lit(0))
+        links = cut(same.unionByName(near))
+        bounded = F.broadcast if links.count() <= BROADCAST_ROWS else (lambda d: d.hint("merge"))
+        wanted = links.select(_class_range("class_old").alias("range"))
+        old = bounded(links).join(self._touched(self.accepted(), wanted).select(F.col("row_id").alias("id_a"), F.col("class").alias("class_old")), "class_old")
+        fresh = new.select(F.col("row_id").alias("id_b"), F.col("class").alias("class_new")).hint("merge")
+        inside = links.join(new.select(F.col("row_id").alias("id_a"), F.col("class").alias("class_old")).hint("merge"), "class_old").join(fresh, "class_new").where("id_a < id_b")
+        with_old = old.join(fresh, "class_new").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance")
+        return inside.select("id_a", "id_b", "distance").unionByName(with_old), new
 
     def append(self, new: DataFrame) -> None:
-        new.repartitionByRange("shape", *CELLS).write.mode("append").parquet(self.path)
+        """Add checked rows; a class that is stored already is not stored again."""
+        classes = _classes(new)
+        known = self._touched(self.accepted(), new.select(_class_range("class").alias("range"))).select("class").distinct()
+        fresh = index_rows(classes.join(known, "class", "left_anti"))
+        by_range = lambda d, key, name: d.repartition("range").sortWithinPartitions("range", key).write.mode("append").partitionBy("range").parquet(f"{self.path}/{name}")
+        by_range(fresh, "key", "index")
+        by_range(new.select("row_id", "class", _class_range("class").alias("range")), "class", "rows")
+
+
+def _class_range(c: str) -> Any:
+    return F.shiftrightunsigned(F.xxhash64(c), 64 - RANGES.bit_length() + 1).cast("int")
+
+
+def in_batches(strategies: DataFrame, steps: int = 2) -> DataFrame:
+    """(id_a, id_b, distance) of all rows, taken batch by batch (batch_no, rows of none first) against a history of its own.
+
+    Consecutive batches are taken together in ``steps`` steps: the first half of the rows, then half of what is left, and so on; a step's
+    rows are compared with each other and with all before.  The history lies in the shared checkpoint folder.
+    """
+    spark = strategies.sparkSession
+    ensure_checkpoint_dir(spark)
+    history = History(spark, f"{spark.sparkContext.getCheckpointDir()}/pivots-{uuid.uuid4()}")
+    d = strategies.withColumn("batch_no", F.coalesce(F.col("batch_no").cast("long"), F.lit(-(2**40))))
+    shares = [1 - 0.5**k for k in range(1, steps)]
+    ends = d.agg(F.percentile_approx("batch_no", [float(x) for x in shares], 1000).alias("e")).first().e or []
+    edges = [None, *sorted(set(ends)), None]
+    found = None
+    for after, upto in zip(edges, edges[1:]):
+        part = d if after is None else d.where(F.col("batch_no") > after)
+        part = part if upto is None else part.where(F.col("batch_no") <= upto)
+        matches, rows = history.check(part)
+        if upto is not None:
+            matches = cut(matches)  # before the history grows
+            history.append(rows)
+        found = matches if found is None else found.unionByName(matches)
+    return found
 
 
 def repeated_keys(rows: DataFrame, id_col: str, key_col: str) -> DataFrame:
@@ -301,6 +401,6 @@ def strategy_links(strategies: DataFrame) -> DataFrame:
     """One row per strategy: its class (the least id of the equal specs), and to how many other classes it is near."""
     rows = cut(pivot_rows(strategies))
     names = rows.groupBy("class").agg(F.min("row_id").alias("class_id"), F.count("*").alias("class_size"))
-    near = near_classes(rows, rows).groupBy(F.col("class_new").alias("class")).agg(F.count("*").alias("n_links"))
+    near = near_classes(rows).groupBy(F.col("class_new").alias("class")).agg(F.count("*").alias("n_links"))
     named = names.join(near, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     return rows.select("row_id", "class").join(named, "class").select(F.col("row_id").alias("strategy_id"), "class_id", "class_size", "n_links")

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, leaks, percentiles, pivots, splitting
-from tidemark.session import cut, table
+from tidemark.session import table
 
 ACCURACY = 0.01
 PERCENTILES = [0.5, 0.9, 0.99]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = cut(pivots.pivot_rows(table(spark, d, "strategies")))
-    near = pivots.matches(rows, rows).select(F.lit("strategies").alias("src"), "id_a", "id_b")
+    near = pivots.in_batches(table(spark, d, "strategies")).select(F.lit("strategies").alias("src"), "id_a", "id_b")
     again = pivots.repeated_keys(table(spark, d, "generations"), "id", "prompt_hash")
     return near.unionByName(again.select(F.lit("generations").alias("src"), "id_a", "id_b"))
 
