@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 #: A block of passages broadcast at once has at most so many characters.
 BLOCK_CHARS = 8_000_000
 CHUNK_BYTES = 2_000_000
+#: Shared q-grams looked at together (more only where a stretch of text as long as a passage has more).
+POSTINGS = 4_000_000
 _NOT_WORD = re.compile(r"[\W_]+")
 _LOWER = bytes(
     (c + 32 if 65 <= c <= 90 else c) if chr(c).isalnum() and c < 128 else 32 for c in range(256)
@@ -58,7 +60,8 @@ class PassageIndex:
     q = 16
 
     def __init__(self, items: list[tuple[int, str]], min_words: int, edits: int, band: int):
-        self.ids, self.words, self.bounds = [], [], []
+        self.ids, self.words, self.ends, self.bounds = [], [], [], []
+        self.code: dict[bytes, int] = {}
         self.min_words, self.edits, self.band = min_words, edits, band
         grams, owner, place = [], [], []
         for item_id, passage in items:
@@ -70,7 +73,8 @@ class PassageIndex:
             run = ends[min_words - 1 :] - 1 - np.concatenate([[0], ends[:-min_words]])
             k = len(self.ids)
             self.ids.append(item_id)
-            self.words.append(words)
+            self.words.append(np.array([self.code.setdefault(w, len(self.code)) for w in words]))
+            self.ends.append(ends)
             self.bounds.append(max(1, int(run.min()) - self.q + 1 - self.q * edits))
             h = _grams(np.frombuffer(text, np.uint8))
             grams.append(h)
@@ -85,10 +89,10 @@ class PassageIndex:
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.bound = np.array(self.bounds, dtype=np.int64)
-        self.length = np.array([sum(map(len, w)) + len(w) - 1 for w in self.words], dtype=np.int64)
+        self.length = np.array([int(e[-1]) - 1 for e in self.ends], dtype=np.int64)
 
-    def candidates(self, raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(passage, first place, last place) of each band that meets its bound within one text; the texts begin at ``starts``."""
+    def candidates(self, raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(passage, first place, last place, diagonal) of each band that meets its bound within one text; the texts begin at ``starts``."""
         h = _grams(raw)
         hit = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         if not len(hit) or not len(self.grams):
@@ -100,6 +104,22 @@ class PassageIndex:
         if not len(hit):
             return
         n = self.count[at]
+        # a band's hits lie within a passage's length of text, so slices that overlap by it hold every band whole
+        reach = int(self.length.max()) + self.band
+        upto = np.concatenate([[0], np.cumsum(n)])
+        seen: set[tuple[int, int, int]] = set()
+        lo = 0
+        while lo < len(hit):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + POSTINGS, side="right")) - 1)
+            back = int(np.searchsorted(hit, hit[lo] - reach))
+            for cand in self._bands(hit[back:hi], at[back:hi], starts):
+                if cand[:3] not in seen:
+                    seen.add(cand[:3])
+                    yield cand
+            lo = hi
+
+    def _bands(self, hit: np.ndarray, at: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        n = self.count[at]
         # every shared q-gram as (passage, diagonal, place in the text)
         total = int(n.sum())
         within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
@@ -107,72 +127,61 @@ class PassageIndex:
         where = np.repeat(hit, n)
         owner = self.owner[posting]
         diagonal = where - self.place[posting] + 2 * int(self.length.max())
-        seen = set()
         for shift in (0, self.band // 2):
             key = owner * np.int64(1 << 40) + (diagonal + shift) // self.band
             order = np.argsort(key, kind="stable")
             k = key[order]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            # a q-gram counts once a band, however often it occurs in the band
             size = np.diff(np.r_[first, len(k)])
             who = owner[order[first]]
             for j in np.flatnonzero(size >= self.bound[who]):
-                w = where[order[first[j] : first[j] + size[j]]]
-                w.sort()
-                # shared q-grams of different texts or far apart belong to separate regions
+                rows = order[first[j] : first[j] + size[j]]
+                rows = rows[np.argsort(where[rows], kind="stable")]
+                w = where[rows]
+                # shared q-grams of different texts belong to separate regions
                 text = np.searchsorted(starts, w, side="right")
-                for part in np.split(w, np.flatnonzero((np.diff(w) > 2 * self.length[who[j]]) | (np.diff(text) > 0)) + 1):
-                    if len(part) < self.bound[who[j]]:
-                        continue
-                    cand = (int(who[j]), int(part[0]), int(part[-1]) + self.q)
-                    if cand not in seen:
-                        seen.add(cand)
-                        yield cand
+                for part in np.split(np.arange(len(w)), np.flatnonzero(np.diff(text) > 0) + 1):
+                    if len(part) >= self.bound[who[j]]:
+                        mid = rows[part[len(part) // 2]]
+                        yield int(who[j]), int(w[part[0]]), int(w[part[-1]]) + self.q, int(where[mid] - self.place[posting[mid]])
 
 
-def align(item: list[bytes], text: list[bytes], band: int) -> tuple[int, int, int, int, int]:
-    """Best local word alignment (score, matches, edits, longest exact run, its place in the item).
+def align(item: np.ndarray, text: np.ndarray, centre: int, band: int) -> tuple[int, int, int, int, int]:
+    """Best local word alignment (score, matches, edits, longest exact run, its place in the item), words being numbers.
 
-    A match scores 1, an edit -1.  Only cells within ``band`` words of a diagonal that the
-    two share are filled; the diagonals are those on which words agree in a run of two or more.
+    A match scores 1, an edit -1.  Only cells within ``band`` words of the diagonal ``centre`` (place in the text less place in
+    the item) are looked at: memory and time are those of the band.
     """
-    code = {w: i for i, w in enumerate(dict.fromkeys([*item, *text]))}
-    a = np.array([code[w] for w in item])
-    b = np.array([code[w] for w in text])
-    equal = a[:, None] == b[None, :]
-    run = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a)):
-        run[i + 1, 1:] = np.where(equal[i], run[i, :-1] + 1, 0)
-    best = np.unravel_index(int(run.argmax()), run.shape)
-    longest = int(run[best])
-    centre = int(best[1] - best[0])
-    lo, hi = -band + centre, band + centre
-    # rows of (score, matches, edits) packed so that a maximum keeps them together
-    score = np.zeros(len(b) + 1, dtype=np.int64)
-    packed = np.zeros(len(b) + 1, dtype=np.int64)
-    top, top_packed = 0, 0
-    columns = np.arange(len(b) + 1)
-    one = 1 << 20
-    for i in range(len(a)):
-        step = np.where(equal[i], 1, -1)
-        s, p = np.zeros_like(score), np.zeros_like(packed)
-        diag = score[:-1] + step
-        up = score - 1
-        s[1:] = np.maximum(diag, up[1:])
-        p[1:] = np.where(diag >= up[1:], packed[:-1] + np.where(equal[i], one, 1), packed[1:] + 1)
-        # gaps along the row: the best of s[j'] - (j - j')
+    width = 2 * band + 1
+    columns = np.arange(width)
+    score, packed, run = np.zeros(width, np.int64), np.zeros(width, np.int64), np.zeros(width, np.int64)
+    best, best_packed, longest, first = 0, 0, 0, 0
+    one = 1 << 20  # matches and edits side by side, so that a maximum keeps them together
+    padded = np.full(len(text) + 2 * width, -1, dtype=np.int64)
+    padded[width : width + len(text)] = text
+    for i in range(len(item)):
+        j = i + centre - band  # place in the text of the first cell
+        inside = padded[max(0, min(j + width, len(padded) - width)) :][:width] if -width <= j <= len(text) else np.full(width, -2)
+        equal = inside == item[i]
+        run = np.where(equal, run + 1, 0)
+        k = int(run.argmax())
+        if run[k] > longest:
+            longest, first = int(run[k]), i + 1 - int(run[k])
+        up_score, up_packed = np.r_[score[1:], 0] - 1, np.r_[packed[1:], 0] + 1
+        along = score + np.where(equal, 1, -1)
+        s = np.maximum(along, up_score)
+        p = np.where(along >= up_score, packed + np.where(equal, one, 1), up_packed)
+        # gaps along the row: the best of s[k'] - (k - k')
         lifted = s + columns
-        m = np.maximum.accumulate(lifted)
-        src = np.maximum.accumulate(np.where(lifted == m, columns, 0))
-        gap = columns - src
-        s, p = m - columns, p[src] + gap
-        out = (columns - i - 1 < lo) | (columns - i - 1 > hi) | (s <= 0)
-        s[out], p[out] = 0, 0
+        top = np.maximum.accumulate(lifted)
+        src = np.maximum.accumulate(np.where(lifted == top, columns, 0))
+        s, p = top - columns, p[src] + columns - src
+        s[s <= 0], p[s <= 0] = 0, 0
         score, packed = s, p
-        j = int(s.argmax())
-        if s[j] > top:
-            top, top_packed = int(s[j]), int(p[j])
-    return top, top_packed >> 20, top_packed & (one - 1), longest, int(best[0]) - longest
+        k = int(s.argmax())
+        if s[k] > best:
+            best, best_packed = int(s[k]), int(p[k])
+    return best, best_packed >> 20, best_packed & (one - 1), longest, first
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[int], np.ndarray]]:
@@ -205,14 +214,21 @@ def _search(index: PassageIndex, texts: list[str | None]) -> Iterator[tuple]:
     for raw, rows, starts in _chunks(texts):
         buffer = raw.tobytes()
         best: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
-        for k, first, last in index.candidates(raw, starts):
+        for k, first, last, diagonal in index.candidates(raw, starts):
             r = int(np.searchsorted(starts, first, side="right")) - 1
             pad = int(index.length[k]) + slack
             a, b = max(int(starts[r]), first - pad), min(int(starts[r + 1]) - 1, last + pad)
             words = buffer[a:b].split(b" ")
+            # the word of the passage, and of the region, at the first place of the region that both have on the diagonal
+            place = max(0, first - diagonal)
+            there = int(np.searchsorted(index.ends[k], place, side="right"))
+            centre = buffer.count(b" ", a, diagonal + place) - there
+            coded = np.array([index.code.get(w, -1) for w in words])
             if a > starts[r] and buffer[a - 1 : a] != b" ":
-                words = words[1:]  # the first may be cut
-            got = align(index.words[k], words, index.band)
+                coded[0] = -1  # the first may be cut
+            if b < starts[r + 1] - 1 and buffer[b : b + 1] != b" ":
+                coded[-1] = -1
+            got = align(index.words[k], coded, centre, index.band)
             old = best[rows[r], k]
             if got[3] > old[3]:
                 old[3:] = got[3:]
