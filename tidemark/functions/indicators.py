@@ -102,16 +102,21 @@ class Series:
         return F.collect_list("close").over(self.last(self.buffer))
 
 
+def _from(values: Column, place: int) -> Column:
+    """The values from a place (the first is 1) to the end."""
+    return F.slice(values, F.lit(place), F.size(values))
+
+
 def _ema(closes: Column, period: int) -> Column:
     """Average of the first ``period`` values, then exponential over the rest."""
     k = 2.0 / (period + 1)
     seed = F.aggregate(F.slice(closes, 1, period), F.lit(0.0), lambda a, x: a + x) / period
-    return F.aggregate(F.slice(closes, period + 1, 1_000_000), seed, lambda e, c: c * k + e * (1 - k))
+    return F.aggregate(_from(closes, period + 1), seed, lambda e, c: c * k + e * (1 - k))
 
 
 def _wilder(changes: Column, period: int) -> Column:
     seed = F.aggregate(F.slice(changes, 1, period), F.lit(0.0), lambda a, x: a + x) / period
-    return F.aggregate(F.slice(changes, period + 1, 1_000_000), seed, lambda e, c: (e * (period - 1) + c) / period)
+    return F.aggregate(_from(changes, period + 1), seed, lambda e, c: (e * (period - 1) + c) / period)
 
 
 def _macd(closes: Column, fast: int, slow: int, signal: int) -> Column:
@@ -191,7 +196,7 @@ def add_indicators(bars: DataFrame, keys: list[str], indicators: list[Indicator]
             value = {"macd": m["macd"], "macd_signal": m["line"], "macd_hist": m["macd"] - m["line"]}[i.type]
         elif i.type == "rsi" and a["smoothing"] == "wilder":
             p = int(a["period"])
-            steps = F.zip_with(F.slice("__closes", 1, 1_000_000), F.slice("__closes", 2, 1_000_000), lambda x, y: y - x)
+            steps = F.zip_with(F.col("__closes"), _from(F.col("__closes"), 2), lambda x, y: y - x)
             steps = F.filter(steps, lambda x: x.isNotNull())
             gain = _wilder(F.transform(steps, lambda x: F.greatest(x, F.lit(0.0))), p)
             loss = _wilder(F.transform(steps, lambda x: F.greatest(-x, F.lit(0.0))), p)
@@ -219,12 +224,13 @@ def _recursive(i: Indicator) -> bool:
     return i.type == "ema" or i.type.startswith("macd") or (i.type == "rsi" and i.args()["smoothing"] == "wilder")
 
 
-def over_long_series(bars: DataFrame, indicators: list[Indicator], *, rows: int = 50_000, buffer: int | None = None) -> DataFrame:
-    """Indicators of series without sessions (round-the-clock intraday bars): chunks with a halo of the buffer's length."""
+def over_long_series(bars: DataFrame, indicators: list[Indicator], *, keys: list[str] | None = None, rows: int = 50_000, buffer: int | None = None) -> DataFrame:
+    """Indicators of series without sessions, however long: chunks of about ``rows`` bars, each behind a halo as long as the history looked at."""
+    keys = keys or ["symbol"]
     buffer = buffer or buffer_length(indicators)
     halo = max([buffer, *[need(i.type, i.params) for i in indicators]]) + 1
-    d = with_halo(bars.withColumn("day", F.to_date("ts")), ["symbol"], "day", rows, halo)
-    return add_indicators(d, ["symbol", "chunk"], indicators, buffer=buffer).where("not is_halo").drop("is_halo", "chunk", "day")
+    d = with_halo(bars.withColumn("__day", F.to_date("ts")), keys, "__day", rows, halo)
+    return add_indicators(d, [*keys, "chunk"], indicators, buffer=buffer).where("not is_halo").drop("is_halo", "chunk", "__day")
 
 
 def bar_window(bars: DataFrame, keys: list[str], n: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dsl
-from tidemark.functions.indicators import add_indicators
+from tidemark.functions.indicators import add_indicators, over_long_series
 from tidemark.operators.backtest import BacktestConfig, backtest_signals
 from tidemark.operators.metrics import profit_factor
 from tidemark.session import cut
@@ -40,27 +40,35 @@ def windows(bars: DataFrame, config: WalkForwardConfig = WalkForwardConfig()) ->
     return w.select("symbol", "window_id", "train_start", test.alias("test_start"), F.add_months(test, config.test_months).alias("test_end"))
 
 
+def last_before(bars: DataFrame, at: DataFrame, n: int) -> DataFrame:
+    """The last n bars of a symbol before each of its days ``at.day`` (columns of at, without symbol and day, are added).
+
+    The days that hold them are found from counts per day; only their bars are ranked.
+    """
+    keys = [c for c in at.columns if c != "day"]
+    b = bars.withColumn("__day", F.to_date("ts"))
+    days = b.groupBy("symbol", "__day").agg(F.count("*").alias("__n")).join(at, "symbol").where(F.col("__day") < F.col("day"))
+    back = Window.partitionBy(*keys).orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("__upto", F.sum("__n").over(back)).where(F.col("__upto") - F.col("__n") < n)
+    near = b.join(days.select(*keys, "__day"), ["symbol", "__day"])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank", "__day")
+
+
 def slices(bars: DataFrame, wins: DataFrame, config: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
     """The bars of every window's train and test run (role), the test with warm-up bars before it.
 
+    Windows begin and end with months, so bars meet their windows by symbol and month, and no symbol is one task.
     Windows without bars in either part are left out.
     """
-    at = lambda c: F.col(c).cast("timestamp_ntz")
-    d = bars.join(wins, "symbol")
-    train = d.where((F.col("ts") >= at("train_start")) & (F.col("ts") < at("test_start")))
-    test = d.where((F.col("ts") >= at("test_start")) & (F.col("ts") < at("test_end")))
-    # the days that hold the last warm-up bars, from counts per day
-    days = bars.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).join(wins, "symbol").where("day < test_start")
-    back = Window.partitionBy("symbol", "window_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
-    days = days.withColumn("upto", F.sum("n").over(back)).where(F.col("upto") - F.col("n") < config.warmup_bars)
-    warm = bars.withColumn("day", F.to_date("ts")).join(days.drop("n", "upto"), ["symbol", "day"]).drop("day")
-    rn = F.row_number().over(Window.partitionBy("symbol", "window_id").orderBy(F.desc("ts")))
-    warm = warm.withColumn("rn", rn).where(F.col("rn") <= config.warmup_bars).drop("rn")
-    some = lambda x: x.select("symbol", "window_id").distinct()
-    both = some(train).join(some(test), ["symbol", "window_id"])
-    cols = ["symbol", "window_id", "train_start", "test_start", "test_end", *[c for c in bars.columns if c != "symbol"]]
-    parts = train.select(*cols, F.lit("train").alias("role")).unionByName(test.select(*cols, F.lit("test").alias("role"))).unionByName(warm.select(*cols, F.lit("test").alias("role")))
-    return parts.join(both, ["symbol", "window_id"], "left_semi")
+    months = F.explode(F.sequence("train_start", F.add_months("test_end", -1), F.expr("interval 1 month"))).alias("__month")
+    by_month = wins.select("*", months)
+    d = bars.withColumn("__month", F.trunc(F.to_date("ts"), "MM")).join(by_month, ["symbol", "__month"])
+    d = d.withColumn("role", F.when(F.col("__month") < F.col("test_start"), "train").otherwise("test"))
+    warm = last_before(bars, wins.withColumn("day", F.col("test_start")), config.warmup_bars).withColumn("role", F.lit("test"))
+    both = d.groupBy("symbol", "window_id").agg(F.count_distinct("role").alias("n")).where("n = 2")
+    cols = ["symbol", "window_id", "train_start", "test_start", "test_end", *[c for c in bars.columns if c != "symbol"], "role"]
+    return d.select(*cols).unionByName(warm.select(*cols)).join(both, ["symbol", "window_id"], "left_semi")
 
 
 def grid_points(grid: dict[str, list[Any]] | None) -> list[dict[str, Any]]:
@@ -92,7 +100,8 @@ def walk_forward(
     series = [*own, "session"] if backtest.sessions else own
     sl = slices(bars, windows(bars, config), config)
     sl = sl.withColumn("session", F.to_date("ts")) if backtest.sessions else sl
-    sl = cut(add_indicators(sl, series, spec.indicators))  # read by the train runs, the test runs and the report
+    ready = add_indicators(sl, series, spec.indicators) if backtest.sessions else over_long_series(sl, spec.indicators, keys=series)
+    sl = cut(ready)  # read by the train runs, the test runs and the report
     ps = _params(spec, points)
     flags = dsl.signals(spec, {n.removeprefix("p_"): F.col(n) for n in names})
     flagged = lambda d: d.select("*", *[c.alias(n) for n, c in flags.items()])
@@ -130,12 +139,13 @@ def walk_forward(
 def holdout_run(bars: DataFrame, boundary: Any, spec: dsl.Spec, backtest: BacktestConfig = BacktestConfig(), warmup_bars: int = 200) -> DataFrame:
     """Trades entered from ``boundary`` on, with default parameters and warm-up bars before it."""
     b = F.lit(boundary).cast("timestamp_ntz")
-    rn = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
-    warm = bars.where(F.col("ts") < b).withColumn("rn", rn).where(F.col("rn") <= warmup_bars).drop("rn")
-    d = warm.unionByName(bars.where(F.col("ts") >= b))
+    at = bars.select("symbol").distinct().withColumn("day", F.to_date(b))
+    day = F.to_date(b).cast("timestamp_ntz")  # bars of the boundary's own day before it warm up, too
+    early = bars.where((F.col("ts") >= day) & (F.col("ts") < b))
+    d = last_before(bars, at, warmup_bars).unionByName(early).unionByName(bars.where(F.col("ts") >= b))
     keys = ["symbol"]
     if backtest.sessions:
         d = d.withColumn("session", F.to_date("ts"))
-    d = add_indicators(d, [*keys, "session"] if backtest.sessions else keys, spec.indicators)
+    d = add_indicators(d, [*keys, "session"], spec.indicators) if backtest.sessions else over_long_series(cut(d), spec.indicators, keys=keys)
     flags = dsl.signals(spec)
     return backtest_signals(d.select("*", *[c.alias(n) for n, c in flags.items()]), keys, backtest).where(F.col("entry_ts") >= b)

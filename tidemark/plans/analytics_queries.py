@@ -76,7 +76,7 @@ def with_flags(d: DataFrame, spec: dsl.Spec) -> DataFrame:
 
 
 def dips_ready(spark: SparkSession, d: str) -> DataFrame:
-    return with_flags(add_indicators(daily_bars(spark, d), ["symbol"], DIPS.indicators), DIPS)
+    return with_flags(over_long_series(cut(daily_bars(spark, d)), DIPS.indicators), DIPS)
 
 
 def dips_trades(spark: SparkSession, d: str) -> DataFrame:
@@ -108,12 +108,12 @@ def q_four_hour_bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_indicators(spark: SparkSession, d: str) -> DataFrame:
-    x = add_indicators(daily_bars(spark, d), ["symbol"], WINDOWED)
+    x = over_long_series(cut(daily_bars(spark, d)), WINDOWED)
     return _rounded(x.select("symbol", "ts", "warm", *[i.name for i in WINDOWED]), *[i.name for i in WINDOWED], places=5)
 
 
 def q_buffer_indicators(spark: SparkSession, d: str) -> DataFrame:
-    x = add_indicators(daily_bars(spark, d), ["symbol"], BUFFERED, buffer=30)
+    x = over_long_series(cut(daily_bars(spark, d)), BUFFERED, buffer=30)
     return _rounded(x.select("symbol", "ts", *[i.name for i in BUFFERED]), *[i.name for i in BUFFERED], places=5)
 
 
@@ -131,7 +131,7 @@ def q_session_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_signal_frequency(spark: SparkSession, d: str) -> DataFrame:
-    x = add_indicators(daily_bars(spark, d), ["symbol"], DIPS.indicators)
+    x = over_long_series(cut(daily_bars(spark, d)), DIPS.indicators)
     return dsl.signal_frequency(x, DIPS, "entry_long").withColumn("warm_ratio", F.round("warm_ratio", 6))
 
 
@@ -472,7 +472,7 @@ best AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY k ORDER BY pf
 chosen AS (SELECT k AS symbol, coalesce(best.grid_id, -1) AS grid_id, coalesce(lo, 40.0) AS lo, coalesce(hi, 60.0) AS hi, best.grid_id AS found, coalesce(pf, 0.0) AS train_pf, coalesce(n, 0) AS train_n_trades
   FROM keyed LEFT JOIN best USING (k) LEFT JOIN grid ON grid.grid_id = best.grid_id){_series_sql("test", "_b", "chosen")},
 o AS (SELECT t.symbol AS k, {_PFX("pnl")} AS test_pf, count(*) AS test_n FROM trades_b t JOIN keyed ON k = t.symbol WHERE entry_ts >= CAST(test_start AS TIMESTAMP) GROUP BY 1)
-SELECT keyed.symbol, window_id, train_start, test_start, test_end, coalesce(found, -1) AS grid_id, round(train_pf, 6) AS train_pf, train_n_trades, hi AS p_high, lo AS p_low, round(coalesce(test_pf, 0.0), 6) AS test_pf, coalesce(test_n, 0) AS test_n_trades
+SELECT keyed.symbol, window_id, train_start, test_start, test_end, coalesce(found, -1) AS grid_id, round(train_pf, 6) AS train_pf, train_n_trades, hi::DOUBLE AS p_high, lo::DOUBLE AS p_low, round(coalesce(test_pf, 0.0), 6) AS test_pf, coalesce(test_n, 0) AS test_n_trades
 FROM keyed JOIN chosen c ON c.symbol = keyed.k LEFT JOIN o USING (k)"""
 _HOLDOUT = f"""WITH RECURSIVE {DAILY_SQL.replace("bars AS (", "bars0 AS (")}, nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS g FROM bars0),
 f AS (SELECT symbol, count(*) FILTER (ts < TIMESTAMP '2001-01-01') AS n FROM nb GROUP BY 1), hold AS (SELECT nb.* FROM nb JOIN f USING (symbol) WHERE g > n - 200),

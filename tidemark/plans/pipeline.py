@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dsl
 from tidemark.functions.dsl import Spec
-from tidemark.functions.indicators import add_indicators
+from tidemark.functions.indicators import add_indicators, over_long_series
 from tidemark.operators import scoring, significance, walkforward
 from tidemark.operators.backtest import BacktestConfig
 from tidemark.session import cut
@@ -76,8 +76,7 @@ def diagnose(bars: DataFrame, spec: Spec, n_trades: int, backtest: BacktestConfi
     """How often each entry of a strategy that hardly trades is met, per symbol and clause; None from ``below`` trades on."""
     if n_trades >= below:
         return None
-    series = ["symbol", "session"] if backtest.sessions else ["symbol"]
-    ready = add_indicators(bars.withColumn("session", F.to_date("ts")), series, spec.indicators)
+    ready = add_indicators(bars.withColumn("session", F.to_date("ts")), ["symbol", "session"], spec.indicators) if backtest.sessions else over_long_series(bars, spec.indicators)
     parts = [dsl.signal_frequency(ready, spec, slot).withColumn("slot", F.lit(slot)) for slot in ("entry_long", "entry_short") if spec.doc[slot] is not None]
     out = parts[0]
     for p in parts[1:]:
