@@ -129,8 +129,36 @@ def test_late_ticks_are_dropped_and_state_is_kept(spark, tmp_path):
     read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t/*"))
     got = sorted((r.open, r.close, r.volume) for r in live.drain(live.stream_bars(read(), "5m")).collect())
     assert got == [(1.0, 3.0, 2.0), (5.0, 5.0, 1.0)]
-    e = live.drain(live.stream_ema(read().select("symbol", "ts", F.col("price").alias("close")), 3))
-    assert e.count() == 5 and e.where("ema is null").count() == 0
+    whole = sorted((r.open, r.close, r.volume) for r in live.drain_open(live.stream_bars(read(), "5m"), ["symbol", "ts"]).collect())
+    assert whole == [(1.0, 3.0, 2.0), (5.0, 5.0, 1.0), (5.0, 5.0, 1.0)]  # the bar that is still open, too
+    e = live.drain(live.stream_ema(read().select("symbol", "ts", F.col("price").alias("close")), 3)).orderBy("ts").collect()
+    assert len(e) == 5
+    seeds = [r.ema for r in e]
+    assert seeds.count(None) == 2 and any(x is not None and abs(x - 3.0) < 1e-9 for x in seeds)  # the mean of 1, 3 and 5
+
+
+def test_rows_of_a_batch_in_any_order_give_the_same_average(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    closes = [float(x) for x in (3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9)]
+    rows = [("S", t + dt.timedelta(minutes=i), c) for i, c in enumerate(closes)]
+    import random
+
+    for k in range(3):
+        part = rows[5 * k : 5 * k + 5] + [("N", t, None)]
+        random.Random(k).shuffle(part)
+        spark.createDataFrame(part, "symbol string, ts timestamp, close double").repartition(3).coalesce(1).write.mode("append").parquet(str(tmp_path / f"t/k={k}"))
+    stream = spark.readStream.schema("symbol string, ts timestamp, close double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t/*"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # a group in several chunks
+    try:
+        got = live.drain(live.stream_ema(stream, 4)).where("symbol = 'S'").orderBy("ts").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    e, want = sum(closes[:4]) / 4, [None] * 3
+    want.append(e)
+    for c in closes[4:]:
+        e = c * 0.4 + e * 0.6
+        want.append(e)
+    assert [r.ema for r in got][:3] == [None] * 3 and [r.ema for r in got][3:] == pytest.approx(want[3:])
 
 
 def test_rosters_and_dates(tmp_path):

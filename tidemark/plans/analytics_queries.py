@@ -282,11 +282,20 @@ def q_splits(spark: SparkSession, d: str) -> DataFrame:
 def q_stream_bars(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
-    ticks = ev.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
-    out = live.drain(live.stream_bars(ticks, "1h", "1 hour"))
+    ticks = ev.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"), "event_id")
+    out = live.drain_open(live.stream_bars(ticks, "1h", "1 hour", ("event_id",)), ["symbol", "ts"])
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))  # as it was read: wall time
 
 
+def q_stream_ema(spark: SparkSession, d: str) -> DataFrame:
+    """A running average over the closes of a stream, its state kept from batch to batch."""
+    schema = table(spark, d, "events").schema
+    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
+    bars = ev.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("close"))
+    out = live.drain(live.stream_ema(bars, 20))
+    return out.groupBy("symbol").agg(F.count("*").alias("n"), F.count("ema").alias("n_averages"), F.round(F.max_by("ema", F.struct("ts", "ema")), 4).alias("last_ema"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 # ---- SQL ---------------------------------------------------------------------------------
@@ -482,10 +491,6 @@ _CRYPTO = f"""WITH c AS (SELECT feed AS symbol, time AT TIME ZONE 'UTC' AS ts, o
 bars AS (SELECT symbol, time_bucket(INTERVAL '15 minutes', ts) AS ts, arg_max(close, (ts, close, open, high, low, volume)) AS close FROM c GROUP BY 1, 2),
 s AS (SELECT *, row_number() OVER {_W} AS rn, lag(close, 5) OVER {_W} AS c5 FROM bars)
 SELECT symbol, ts, round(close, 6) AS close, round(CASE WHEN rn >= 10 THEN avg(close) OVER {_ROWS(10)} END, 6) AS sma_10, round(CASE WHEN rn >= 6 THEN (close / nullif(c5, 0) - 1) * 100 END, 6) AS roc_5 FROM s"""
-_STREAM = """WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume
-  FROM events GROUP BY 1, 2)
-SELECT * FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
-
 # the state of a dip buyer: flat 0, order 1, position 2
 def _dips(n: int, low: float, high: float, trend: int, mult: float, most: int, trailing: bool) -> str:
     raised = f"greatest(s.stop, s.peak - {mult} * s.rng)" if trailing else "s.stop"
@@ -577,7 +582,9 @@ SELECT symbol, (SELECT count(*) FROM trades t WHERE t.symbol = pk.symbol) AS tot
     "q_oos_trades": _OOS,
     "q_holdout": _HOLDOUT,
     "q_crypto_indicators": _CRYPTO,
-    "q_stream_bars": _STREAM,
+    "q_stream_ema": """WITH e AS (SELECT event_type AS symbol, list(value ORDER BY ts, event_id) AS l FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT symbol, len(l) AS n, greatest(len(l) - 19, 0) AS n_averages, round(CASE WHEN len(l) >= 20 THEN list_reduce(list_prepend(list_avg(l[1:20]), l[21:]), lambda e, c: c * (2.0 / 21) + e * (1 - 2.0 / 21)) END, 4) AS last_ema FROM e""",
+    "q_stream_bars": f"WITH {_EVENTS} SELECT symbol, ts, open, high, low, close, volume FROM bars",
     "q_bootstrap": f"{_TRADES}, {_boot(7)} SELECT symbol, {_R('pf', 'ci_lower', 'ci_upper', 'fraction_capped')}, n_trades, under_sampled FROM boot",
     "q_score": f"{_TRADES}, {_boot(7)}{_judged('bars', 2, 50)}",
     "q_evaluation": f"{_WALK.rpartition('SELECT keyed.symbol')[0]}, trades AS (SELECT keyed.symbol, t.* EXCLUDE (symbol) FROM trades_b t JOIN keyed ON k = t.symbol WHERE entry_ts >= CAST(test_start AS TIMESTAMP)), {_boot(0)}{_judged('bars0', 2, 0)}",
