@@ -84,4 +84,12 @@ SELECT archetype, metric, n_values, p,
   CAST(format('{{:.11e}}', CASE WHEN bucket = 0 THEN 0.0 ELSE sign(bucket) * 2 * {_G} / ({_G} + 1) * pow({_G}, abs(bucket) - {_AT + 1}) END) AS DOUBLE) AS value
 FROM c WHERE upto > floor(p * (n_values - 1)) AND upto - n <= floor(p * (n_values - 1))"""
 
-SQL = {"p6_percentiles": _PERCENTILES, "p6_by_stream": _PERCENTILES}
+_WORDS = "string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+_LEAKS = f"""
+WITH i AS (SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items WHERE passage IS NOT NULL),
+d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+gi AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 13)) AS k FROM i WHERE len(w) >= 15)),
+gd AS (SELECT doc_id, array_to_string(w[k:k + 14], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 13)) AS k FROM d WHERE len(w) >= 15))
+SELECT DISTINCT item_id, doc_id FROM gd JOIN gi USING (g)"""
+
+SQL = {"p9_found": _LEAKS, "p6_percentiles": _PERCENTILES, "p6_by_stream": _PERCENTILES}
