@@ -13,7 +13,7 @@ least one block agrees wholly, where the triangle inequality allows only equal p
 others the distances to a pivot, each an integer, differ by ``max_changes`` in all: they lie on one of thirteen
 places around the tree's own.  The table stores a tree once per block, under a key of the shape, the block's
 distances and the others' distances to their first pivots; a new tree looks up the thirteen places of each block.  The table is
-partitioned by ranges of the key, and a batch reads the ranges it falls in.  The inequality for all other pivots
+partitioned by ranges of the key's hash, and a batch reads the ranges it falls in.  The inequality for all other pivots
 then prunes the pairs, and survivors are verified by the true distance.  Equal trees are one class and are joined once.
 """
 
@@ -28,7 +28,7 @@ from typing import Any
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.percentiles import hash_key
@@ -40,7 +40,7 @@ FAR = 99
 DROPPED_TOP, DROPPED = {"name", "thesis"}, {"description", "descriptions"}
 #: Ranges of keys by which the stored table is partitioned.
 RANGES = 16
-#: A batch's keys are broadcast if there are no more rows of them (some 250 bytes each); beyond, both sides are shuffled.
+#: A batch's keys, pairs and links are broadcast if there are no more of them (some 20 to 100 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 100_000
 PIVOT_COLUMNS = [f"d{b}_{j}" for b in range(BLOCKS) for j in range(PIVOTS)]
 CELLS = [f"cell{b}" for b in range(BLOCKS)]
@@ -231,8 +231,9 @@ def pivot_rows(specs: DataFrame, id_col: str = "strategy_id", text_col: str = "s
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """One row per class; all its rows have the same values."""
-    return rows.where("shape is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ["shape", "canon", *CELLS, *PIVOT_COLUMNS]])
+    """One row per class, with a number ``cid`` (a hash of its name); all rows of a class have the same values."""
+    d = rows.where("shape is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ["shape", "canon", *CELLS, *PIVOT_COLUMNS]])
+    return d.withColumn("cid", F.xxhash64("class"))
 
 
 def _others(block: int) -> list[str]:
@@ -240,47 +241,45 @@ def _others(block: int) -> list[str]:
 
 
 def index_rows(classes: DataFrame) -> DataFrame:
-    """The table's rows of each class, one for each block: range, key, block, class, shape, cells, distances, canon."""
-    own = F.array(*[F.struct(F.lit(b).alias("block"), F.xxhash64("shape", F.lit(b), f"cell{b}", *_others(b)).alias("key")) for b in range(BLOCKS)])
-    d = classes.withColumn("x", F.explode(own)).select("x.key", "x.block", *[c for c in classes.columns if c != "x"])
-    return d.withColumn("range", _range("key"))
-
-
-def _range(key: str) -> Any:
-    return F.shiftrightunsigned(F.col(key), 64 - RANGES.bit_length() + 1).cast("int")
+    """(key, cid): the table's rows of each class, one for each block."""
+    own = F.array(*[F.xxhash64("shape", F.lit(b), f"cell{b}", *_others(b)) for b in range(BLOCKS)])
+    return classes.select(F.explode(own).alias("key"), "cid")
 
 
 def probes(classes: DataFrame) -> DataFrame:
-    """The keys at which a class looks up others: for each block the places around its own distances in the other blocks."""
+    """(key, cid): where a class looks up others: for each block the places around its own distances in the other blocks."""
     keys = [
-        F.struct(F.lit(b).alias("block"), F.xxhash64("shape", F.lit(b), f"cell{b}", *[F.col(c) + F.lit(p).cast("int") for c, p in zip(_others(b), place)]).alias("key"))
+        F.xxhash64("shape", F.lit(b), f"cell{b}", *[F.col(c) + F.lit(p).cast("int") for c, p in zip(_others(b), place)])
         for b in range(BLOCKS) for place in PLACES
     ]
-    d = classes.drop("canon").withColumn("x", F.explode(F.array(*keys))).select("x.key", "x.block", *[c for c in classes.columns if c not in ("x", "canon")])
-    return d.withColumn("range", _range("key"))
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "cid")
+
+
+def _range(key: str) -> Column:
+    return F.shiftrightunsigned(F.col(key), 64 - RANGES.bit_length() + 1).cast("int")
 
 
-def candidates(asking: DataFrame, table: DataFrame, few: bool) -> DataFrame:
-    """(class_new, class_old, canon_old) of pairs that the triangle inequality allows, equal classes included; each pair once per table row.
+def _small(d: DataFrame) -> DataFrame:
+    """To be broadcast if it has few rows, else shuffled; d must be stored, as it is counted."""
+    return F.broadcast(d) if d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else d.hint("merge")
 
-    asking: probes; table: index rows; few: whether the probes are few enough to be broadcast.
+
+def candidates(asking: DataFrame, table: DataFrame) -> DataFrame:
+    """(new, old) class numbers of unlike classes that meet at a key, each pair once."""
+    a, b = asking.withColumnRenamed("cid", "new"), table.withColumnRenamed("cid", "old")
+    return a.join(b, "key").where("new != old").select("new", "old").distinct()
+
+
+def verified(pairs: DataFrame, fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """(class_new, class_old, distance) of the candidates within MAX_CHANGES; fresh and stored are rows of ``_classes`` that hold them.
+
+    First the triangle inequality for all pivots, then the true distance.
     """
-    a, b = asking.alias("a"), table.alias("b")
-    gap = lambda blk: F.greatest(*[F.abs(F.col(f"a.d{blk}_{j}") - F.col(f"b.d{blk}_{j}")) for j in range(PIVOTS)])
-    bound = sum((gap(k) for k in range(1, BLOCKS)), gap(0)) <= MAX_CHANGES
-    # a pair that agrees in several blocks counts in the first of them
-    first = F.when(F.col("a.cell0") == F.col("b.cell0"), 0)
-    for k in range(1, BLOCKS):
-        first = first.when(F.col(f"a.cell{k}") == F.col(f"b.cell{k}"), k)
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.range") == F.col("b.range")) & (F.col("a.shape") == F.col("b.shape")) & (F.col("a.block") == F.col("b.block"))
-    a = F.broadcast(a) if few else a.hint("merge")
-    return a.join(b, near & bound & (F.col("a.block") == first)).select(F.col("a.class").alias("class_new"), F.col("b.class").alias("class_old"), F.col("b.canon").alias("canon_old"))
-
-
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class_new, class_old, distance) of the candidates of unlike classes within MAX_CHANGES by the true distance."""
-    text = classes.select(F.col("class").alias("class_new"), F.col("canon").alias("canon_new")).hint("merge")
-    both = pairs.where("class_new != class_old").dropDuplicates(["class_new", "class_old"]).join(text, "class_new")
+    side = lambda d, k: d.select(F.col("cid").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("class", "canon", "shape", *PIVOT_COLUMNS)])
+    both = _small(pairs).join(side(fresh, "new"), "new")
+    both = both.hint("merge").join(side(stored, "old"), "old") if stored is fresh else both.join(side(stored, "old"), "old")
+    gap = lambda blk: F.greatest(*[F.abs(F.col(f"new_d{blk}_{j}") - F.col(f"old_d{blk}_{j}")) for j in range(PIVOTS)])
+    both = both.where((F.col("new_shape") == F.col("old_shape")) & (sum((gap(k) for k in range(1, BLOCKS)), gap(0)) <= MAX_CHANGES))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,21 +291,21 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 names=["class_new", "class_old", "distance"],
             )
 
-    return both.select("class_new", "class_old", "canon_new", "canon_old").mapInArrow(run, "class_new string, class_old string, distance int")
+    return both.select("new_class", "old_class", "new_canon", "old_canon").mapInArrow(run, "class_new string, class_old string, distance int")
 
 
 def near_classes(rows: DataFrame) -> DataFrame:
     """(class_new, class_old, distance) of all unlike classes of the rows within MAX_CHANGES."""
-    classes = _classes(rows)
-    return verified(candidates(probes(classes), index_rows(classes), False), classes)
+    classes = cut(_classes(rows))
+    return verified(cut(candidates(probes(classes), index_rows(classes))), classes, classes)
 
 
 class History:
     """The stored pivot table: batches are checked against it and appended; what is stored is never rewritten.
 
-    Two parquet tables under ``path``: ``index``, the rows of ``index_rows`` of each class, partitioned by the range of the key, and ``rows``,
-    (row_id, class) of each row, partitioned by the range of the class.  A batch is shuffled alone: it reads the ranges it
-    falls in, with its own keys broadcast (if they are few, by BROADCAST_ROWS), and no stored row moves.
+    Three parquet tables under ``path``: ``index``, (key, cid) of ``index_rows``, partitioned by the range of the key; ``classes``, the
+    rows of ``_classes``, and ``rows``, (row_id, class, cid), partitioned by the range of cid.  A batch reads the ranges it falls in, with its own keys,
+    pairs and links broadcast (if they are few, by BROADCAST_ROWS), so that no stored row is shuffled.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -315,19 +314,21 @@ class History:
     def _stored(self, name: str, schema: str) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.createDataFrame([], f"{schema}, range int")
+        return self.spark.read.schema(f"{schema}, range int").parquet(f"{self.path}/{name}")
 
     def index(self) -> DataFrame:
-        stems = ["class string", "shape long", "canon string", *[f"{c} long" for c in CELLS], *[f"{c} int" for c in PIVOT_COLUMNS]]
-        return self._stored("index", ", ".join(["key long", "block int", *stems, "range int"]))
+        return self._stored("index", "key long, cid long")
+
+    def classes(self) -> DataFrame:
+        return self._stored("classes", ", ".join(["class string", "shape long", "canon string", *[f"{c} long" for c in CELLS], *[f"{c} int" for c in PIVOT_COLUMNS], "cid long"]))
 
     def accepted(self) -> DataFrame:
-        return self._stored("rows", "row_id long, class string, range int")
+        return self._stored("rows", "row_id long, class string, cid long")
 
-    def _touched(self, table: DataFrame, ranges: DataFrame) -> DataFrame:
-        """The partitions of the table that the ranges name; there are at most RANGES."""
-        return table.where(F.col("range").isin([r.range for r in ranges.select("range").distinct().collect()]))
+    def _touched(self, table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+        """The partitions of the table that the keys fall in; there are at most RANGES."""
+        return table.where(F.col("range").isin([r.range for r in keys.select(_range(key).alias("range")).distinct().collect()])).drop("range")
 
     def check(self, batch: DataFrame, id_col: str = "strategy_id", text_col: str = "spec_json") -> tuple[DataFrame, DataFrame]:
         """(matches of the batch, its pivot rows for append).
@@ -337,32 +338,34 @@ class History:
         """
         new = cut(pivot_rows(batch, id_col, text_col))
         classes = cut(_classes(new))
-        asking = probes(classes)
-        few = classes.count() * BLOCKS * len(PLACES) <= BROADCAST_ROWS
-        table = self._touched(self.index(), asking).unionByName(index_rows(classes))
-        near = verified(candidates(asking, table, few), classes)
+        asking = cut(probes(classes))
+        with_old = cut(candidates(_small(asking), self._touched(self.index(), asking, "key")))
+        inside = cut(candidates(asking, index_rows(classes)))
+        near = verified(with_old, classes, self._touched(self.classes(), with_old, "old"))
+        near = near.unionByName(verified(inside, classes, classes)).dropDuplicates(["class_new", "class_old"])  # a class may be stored and new
         same = new.select(F.col("class").alias("class_new"), F.col("class").alias("class_old")).distinct().withColumn("distance", F.lit(0))
         links = cut(same.unionByName(near))
-        bounded = F.broadcast if links.count() <= BROADCAST_ROWS else (lambda d: d.hint("merge"))
-        wanted = links.select(_class_range("class_old").alias("range"))
-        old = bounded(links).join(self._touched(self.accepted(), wanted).select(F.col("row_id").alias("id_a"), F.col("class").alias("class_old")), "class_old")
-        fresh = new.select(F.col("row_id").alias("id_b"), F.col("class").alias("class_new")).hint("merge")
-        inside = links.join(new.select(F.col("row_id").alias("id_a"), F.col("class").alias("class_old")).hint("merge"), "class_old").join(fresh, "class_new").where("id_a < id_b")
-        with_old = old.join(fresh, "class_new").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance")
-        return inside.select("id_a", "id_b", "distance").unionByName(with_old), new
+        rows = new.select(F.col("row_id").alias("id_b"), F.col("class").alias("class_new"))
+        held = self._touched(self.accepted(), links.select(F.xxhash64("class_old").alias("cid")), "cid")
+        old = _small(links).join(held.select(F.col("row_id").alias("id_a"), F.col("class").alias("class_old")), "class_old").join(rows.hint("merge"), "class_new")
+        new_ones = rows.select(F.col("id_b").alias("id_a"), F.col("class_new").alias("class_old"))
+        own = _small(links).join(new_ones.hint("merge"), "class_old").join(rows.hint("merge"), "class_new").where("id_a < id_b")
+        old = old.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance")
+        return own.select("id_a", "id_b", "distance").unionByName(old), new
 
     def append(self, new: DataFrame) -> None:
         """Add checked rows; a class that is stored already is not stored again."""
         classes = _classes(new)
-        known = self._touched(self.accepted(), new.select(_class_range("class").alias("range"))).select("class").distinct()
-        fresh = index_rows(classes.join(known, "class", "left_anti"))
-        by_range = lambda d, key, name: d.repartition("range").sortWithinPartitions("range", key).write.mode("append").partitionBy("range").parquet(f"{self.path}/{name}")
-        by_range(fresh, "key", "index")
-        by_range(new.select("row_id", "class", _class_range("class").alias("range")), "class", "rows")
+        known = self._touched(self.accepted(), new.select(F.xxhash64("class").alias("cid")), "cid").select("class").distinct()
+        fresh = cut(classes.join(known, "class", "left_anti"))
 
+        def add(d: DataFrame, key: str, name: str) -> None:
+            d = d.withColumn("range", _range(key))
+            d.repartition("range").sortWithinPartitions("range", key).write.mode("append").partitionBy("range").parquet(f"{self.path}/{name}")
 
-def _class_range(c: str) -> Any:
-    return F.shiftrightunsigned(F.xxhash64(c), 64 - RANGES.bit_length() + 1).cast("int")
+        add(index_rows(fresh), "key", "index")
+        add(fresh, "cid", "classes")
+        add(new.select("row_id", "class", F.xxhash64("class").alias("cid")), "cid", "rows")
 
 
 def in_batches(strategies: DataFrame, steps: int = 2) -> DataFrame:
