@@ -54,8 +54,7 @@ PLACES = [p for p in itertools.product(range(-MAX_CHANGES, MAX_CHANGES + 1), rep
 _SPREAD = [sum((h >> j & 1) << 16 * j for j in range(8)) for h in range(256)]
 
 
-def _text(x: Any) -> str:
-    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+_text = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
 
 
 def _hash(s: str) -> int:
@@ -131,19 +130,26 @@ def shape(x: Any, key: str = "") -> str:
     return "*"
 
 
-def leaves(x: Any, path: str = "", key: str = "") -> Iterator[tuple[str, str | None]]:
+def leaves(x: Any) -> list[tuple[str, str | None]]:
     """(path, value) of every leaf; lists of scalars also give their path with None."""
-    if isinstance(x, dict):
-        for k, v in x.items():
-            yield from leaves(v, f"{path}.{k}", k)
-    elif isinstance(x, list):
-        flat = _scalars(x)
-        if flat:
-            yield f"{path}[]", None
-        for i, v in enumerate(x):
-            yield from leaves(v, f"{path}[]" if flat or _is_clauses(key, x) else f"{path}[{i}]")
-    else:
-        yield path, _text(x)
+    out: list[tuple[str, str | None]] = []
+
+    def walk(x: Any, path: str, key: str) -> None:
+        if isinstance(x, dict):
+            for k, v in x.items():
+                walk(v, f"{path}.{k}", k)
+        elif isinstance(x, list):
+            flat = _scalars(x)
+            if flat:
+                out.append((f"{path}[]", None))
+            alike = flat or _is_clauses(key, x)
+            for i, v in enumerate(x):
+                walk(v, f"{path}[]" if alike else f"{path}[{i}]", "")
+        else:
+            out.append((path, "'" + x if isinstance(x, str) else repr(x)))
+
+    walk(x, "", "")
+    return out
 
 
 def distance(a: Any, b: Any, most: int = MAX_CHANGES, key: str = "") -> int:
@@ -200,7 +206,7 @@ def _pivot_row(row_id: int, spec: str | None) -> tuple | None:
         canon, form = _text(tree), shape(tree)
     except (ValueError, RecursionError):  # not readable: only an equal text repeats it
         return (row_id, "t" + hashlib.md5(spec.encode("utf-8", "surrogatepass")).hexdigest(), None, None, *none)
-    found = list(leaves(tree))
+    found = leaves(tree)
     block = {p: i % BLOCKS for i, p in enumerate(sorted({p for p, _ in found}))}
     sums = [0] * BLOCKS
     for path, value in found:
