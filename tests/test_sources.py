@@ -27,6 +27,11 @@ def test_landed_payloads(spark, tmp_path):
     (d / "a.json").write_text(json.dumps({"status": "OK", "results": [row(ms, 1.5), row(ms - 3_600_000, 9.0), row(ms + 86_400_000 * 3, 7.0)]}))
     (d / "b.json").write_text(json.dumps({"status": "ERROR", "results": [row(ms, 2.0)]}))
     (d / "c.json").write_text(json.dumps({"status": "DELAYED", "results": None}))
+    with pytest.raises(Exception, match="payload with status ERROR"):  # as bars could be missing
+        src.LandedJsonProvider(spark, str(tmp_path)).fetch_bars("amd", "5m", dt.date(2024, 1, 2), dt.date(2024, 1, 3)).collect()
+    raw = spark.read.schema(src.AGGREGATES).option("multiLine", True).json(str(d))
+    assert src.aggregates_to_bars(raw, "amd", strict=False).count() == 3
+    (d / "b.json").unlink()
     got = src.LandedJsonProvider(spark, str(tmp_path)).fetch_bars("amd", "5m", dt.date(2024, 1, 2), dt.date(2024, 1, 3)).collect()
     assert [(r.symbol, r.ts, r.close) for r in got] == [("amd", T0, 1.5)]
 
@@ -186,3 +191,44 @@ def test_reconcile_and_newest_log(spark):
     t = dt.datetime(2024, 1, 1)
     logs = spark.createDataFrame([(1, t, '{"name": "a"}'), (2, t, '{"name": "a"}'), (3, t + dt.timedelta(1), '{"name": "a"'), (4, t, None)], "log_id long, timestamp timestamp, raw_tool_input string")
     assert {(r.id, r.log_id) for r in lb.newest_log(e, logs).collect()} == {(1, 2), (2, None), (3, None), (4, None)}
+
+
+def test_crypto_payloads(spark):
+    from tidemark.sources.bars import pair_payload_to_bars
+
+    frame = lambda *t: spark.createDataFrame([(x,) for x in t], "value string")
+    good = '{"error": [], "result": {"last": 1700000600, "XXBTZUSD": [[1700000000, "1.5", "2.0", "1.0", "1.7", "1.6", "12.5", 3]], "other": [[1, "9", "9", "9", "9", "9", "9", 9]]}}'
+    rows = pair_payload_to_bars(frame(good, '{"error": [], "result": {"last": 1}}'), "BTC").collect()
+    assert [tuple(r) for r in rows] == [("BTC", dt.datetime(2023, 11, 14, 22, 13, 20), 1.5, 2.0, 1.0, 1.7, 12.5)]
+    for bad in ('{"error": ["EQuery:Unknown asset pair"]}', "no json", None):
+        with pytest.raises(Exception, match="payload with errors"):
+            pair_payload_to_bars(frame(good, bad), "BTC").collect()
+    assert pair_payload_to_bars(frame(), "BTC").count() == 0
+
+
+def test_baskets_have_labels(spark):
+    from tidemark.operators import scoring
+
+    d = spark.createDataFrame([("a", "X"), ("a", "Y"), ("a", "X"), ("b", "Z")], "k string, symbol string")
+    got = {r.k: r.label for r in scoring.basket_label(scoring.basket_hash(d, ["k"]), {"two": ["Y", "X"], "five": ["A"]}).collect()}
+    assert got["a"] == "two" and got["b"].startswith("unknown_") and len(got["b"]) == 20
+
+
+def test_orders_that_are_no_market_orders_are_refused():
+    from tidemark.operators.backtest import Bar, BacktestConfig, Engine, Entry
+
+    class Limit:
+        keep = 5
+        on_session_start = on_trade_closed = staticmethod(lambda *a: None)
+        on_bar = staticmethod(lambda *a: [Entry("long", kind="limit")])
+
+    with pytest.raises(ValueError, match="limit"):
+        list(Engine(Limit(), BacktestConfig()).feed(Bar(dt.datetime(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0)))
+
+
+def test_the_package_can_be_shipped(spark):
+    from tidemark.session import ship
+
+    ship(spark)
+    assert any("tidemark" in str(f) for f in spark.sparkContext.listFiles)
+

@@ -218,20 +218,22 @@ class Bar:
 
 @dataclass
 class Entry:
-    """An order to enter at the next bar's open."""
+    """An order to enter at the next bar's open; only market orders can be filled."""
 
     side: str  # long or short
     stop: float | None = None
     target: float | None = None
     label: str = ""
     size: int = 1
+    kind: str = "market"
 
 
 @dataclass
 class Exit:
-    """An order to leave at the current close."""
+    """An order to leave at the current close; only market orders can be filled."""
 
     label: str = ""
+    kind: str = "market"
 
 
 @dataclass
@@ -303,6 +305,8 @@ class Engine:
             del self.history[: len(self.history) - strategy.keep]
         for order in strategy.on_bar(bar, self.position, self.history):
             self.orders += 1
+            if order.kind != "market":
+                raise ValueError(f"a {order.kind} order cannot be filled")
             if isinstance(order, Entry):
                 if self.position is None:
                     self.pending = order

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,10 @@ def basket_hash(rows: DataFrame, keys: list[str], symbol: str = "symbol") -> Dat
     """Identity of a set of symbols: the first 12 digits of sha256 over the sorted, joined names."""
     joined = F.array_join(F.array_sort(F.collect_set(symbol)), ",")
     return rows.groupBy(*keys).agg(F.substring(F.sha2(joined, 256), 1, 12).alias("basket_hash"), F.count_distinct(symbol).alias("n_symbols"))
+
+
+def basket_label(baskets: DataFrame, known: dict[str, list[str]]) -> DataFrame:
+    """Add label: the name of the known set of symbols with the same hash, else ``unknown_`` and the hash."""
+    names = {hashlib.sha256(",".join(sorted(set(v))).encode()).hexdigest()[:12]: k for k, v in known.items()}
+    found = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("basket_hash")) if names else F.lit(None).cast("string")
+    return baskets.withColumn("label", F.coalesce(found, F.concat(F.lit("unknown_"), "basket_hash")))

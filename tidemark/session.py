@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors of a cluster on which it is not installed (Arrow functions import it there)."""
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as d:  # on the driver only; Spark serves the file from there
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/tidemark", "zip", root, "tidemark"))
+
+
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings used by tests and bench; on one machine, so its checkpoints may be in a temporary folder."""
     b = (

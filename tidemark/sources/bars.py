@@ -44,18 +44,46 @@ def local(ts: Column | str, zone: str = MARKET_ZONE) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(F.from_utc_timestamp(ts, zone)), epoch)
 
 
-def aggregates_to_bars(payload: DataFrame, symbol: str, zone: str = MARKET_ZONE) -> DataFrame:
+def aggregates_to_bars(payload: DataFrame, symbol: str, zone: str = MARKET_ZONE, *, strict: bool = True) -> DataFrame:
     """Rows of aggregate payloads (t in milliseconds UTC, o, h, l, c, v) as bars in local wall time.
 
-    Payloads whose status is neither OK nor DELAYED, and null results, give no rows.
+    A payload whose status is neither OK nor DELAYED stops the query; unless ``strict``, it gives no rows.  Null results give none.
     """
-    rows = payload.where("status in ('OK', 'DELAYED')").select(F.explode("results").alias("r"))
+    good = F.coalesce(F.col("status").isin("OK", "DELAYED"), F.lit(False))
+    if strict:
+        found = F.when(good, F.col("results")).otherwise(F.raise_error(F.concat(F.lit("payload with status "), F.coalesce("status", F.lit("null")))).cast(AGGREGATES["results"].dataType))
+        rows = payload.select(F.explode(found).alias("r"))
+    else:
+        rows = payload.where(good).select(F.explode("results").alias("r"))
     return rows.select(
         F.lit(symbol).alias("symbol"), local(F.timestamp_millis("r.t"), zone).alias("ts"),
         *[F.col(f"r.{c[0]}").alias(c) for c in OHLCV],
     )
 
 
+#: Places of the fields in a row of a crypto payload: time in seconds, open, high, low, close, vwap, volume, count.
+PAIR_ROW = {"open": 2, "high": 3, "low": 4, "close": 5, "volume": 7}
+
+
+def pair_payload_to_bars(payload: DataFrame, symbol: str, text: str = "value") -> DataFrame:
+    """Bars in UTC from crypto payloads (JSON in the column ``text``): the rows under the first member of ``result`` but ``last``.
+
+    A payload with errors, or that is no JSON, stops the query; one without such a member gives no rows.
+    """
+    p = F.from_json(text, "error array<string>, result map<string,variant>")
+    d = payload.select(p.alias("p"), F.col(text).alias("t"))
+    wrong = F.col("p.result").isNull() & (F.coalesce(F.size("p.error"), F.lit(0)) == 0) | (F.size("p.error") > 0)
+    said = F.concat(F.lit("payload with errors: "), F.coalesce(F.array_join("p.error", "; "), F.substring("t", 1, 80), F.lit("null")))
+    pairs = F.map_values(F.map_filter("p.result", lambda k, v: k != "last"))
+    rows = F.try_variant_get(F.get(pairs, F.lit(0)), "$", "array<array<string>>")
+    kind = "array<array<string>>"
+    d = d.select(F.explode(F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(said).cast(kind)).otherwise(rows)).alias("r"))
+    return d.select(
+        F.lit(symbol).alias("symbol"), local(F.timestamp_seconds(F.element_at("r", 1).cast("double")), "UTC").alias("ts"),
+        *[F.element_at("r", PAIR_ROW[c]).cast("double").alias(c) for c in OHLCV],
+    )
+
+
 def rest_rows_to_bars(rows: DataFrame, symbol: str) -> DataFrame:
     """Rows (time in seconds UTC, open, high, low, close, vwap, volume, count) as bars in UTC."""
     return rows.select(
