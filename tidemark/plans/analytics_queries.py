@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dsl
@@ -67,6 +67,11 @@ def _rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
+def _digits(c: str) -> Column:
+    """A value to eight significant digits, as profit factors may be of any size."""
+    return F.format_string("%.7e", c).cast("double")
+
+
 def _dates_as_text(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in cols})
 
@@ -171,7 +176,8 @@ def q_windows(spark: SparkSession, d: str) -> DataFrame:
 def q_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     grid = {"low": [35.0, 45.0], "high": [55.0, 65.0]}
     report, _ = walkforward.walk_forward(cut(daily_bars(spark, d)), DIPS, grid, WINDOWS, DAILY)
-    return _dates_as_text(_rounded(report.withColumn("grid_id", F.coalesce("grid_id", F.lit(-1))), "train_pf", "test_pf"), "train_start", "test_start", "test_end")
+    report = report.withColumns({"grid_id": F.coalesce("grid_id", F.lit(-1)), **{c: _digits(c) for c in ("train_pf", "test_pf")}})
+    return _dates_as_text(report, "train_start", "test_start", "test_end")
 
 
 def q_oos_trades(spark: SparkSession, d: str) -> DataFrame:
@@ -195,10 +201,9 @@ def q_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary(df: DataFrame) -> DataFrame:
-    """Values to eight significant digits, as profit factors may be of any size."""
     names = F.array_join(F.transform("failed", lambda x: x["name"]), ",")
     cols = ["median_pf", "std_pf", "ci_lower", "p_value", "score", "reported_score"]
-    return df.withColumn("failed_names", names).drop("failed").withColumns({c: F.format_string("%.7e", c).cast("double") for c in cols})
+    return df.withColumn("failed_names", names).drop("failed").withColumns({c: _digits(c) for c in cols})
 
 
 def q_score(spark: SparkSession, d: str) -> DataFrame:
@@ -481,7 +486,7 @@ best AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY k ORDER BY pf
 chosen AS (SELECT k AS symbol, coalesce(best.grid_id, -1) AS grid_id, coalesce(lo, 40.0) AS lo, coalesce(hi, 60.0) AS hi, best.grid_id AS found, coalesce(pf, 0.0) AS train_pf, coalesce(n, 0) AS train_n_trades
   FROM keyed LEFT JOIN best USING (k) LEFT JOIN grid ON grid.grid_id = best.grid_id){_series_sql("test", "_b", "chosen")},
 o AS (SELECT t.symbol AS k, {_PFX("pnl")} AS test_pf, count(*) AS test_n FROM trades_b t JOIN keyed ON k = t.symbol WHERE entry_ts >= CAST(test_start AS TIMESTAMP) GROUP BY 1)
-SELECT keyed.symbol, window_id, train_start, test_start, test_end, coalesce(found, -1) AS grid_id, round(train_pf, 6) AS train_pf, train_n_trades, hi::DOUBLE AS p_high, lo::DOUBLE AS p_low, round(coalesce(test_pf, 0.0), 6) AS test_pf, coalesce(test_n, 0) AS test_n_trades
+SELECT keyed.symbol, window_id, train_start, test_start, test_end, coalesce(found, -1) AS grid_id, CAST(format('{{:.7e}}', train_pf) AS DOUBLE) AS train_pf, train_n_trades, hi::DOUBLE AS p_high, lo::DOUBLE AS p_low, CAST(format('{{:.7e}}', coalesce(test_pf, 0.0)) AS DOUBLE) AS test_pf, coalesce(test_n, 0) AS test_n_trades
 FROM keyed JOIN chosen c ON c.symbol = keyed.k LEFT JOIN o USING (k)"""
 _HOLDOUT = f"""WITH RECURSIVE {DAILY_SQL.replace("bars AS (", "bars0 AS (")}, nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS g FROM bars0),
 f AS (SELECT symbol, count(*) FILTER (ts < TIMESTAMP '2001-01-01') AS n FROM nb GROUP BY 1), hold AS (SELECT nb.* FROM nb JOIN f USING (symbol) WHERE g > n - 200),
