@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A block of passages broadcast at once has at most so many characters.
-BLOCK_CHARS = 8_000_000
+#: A block of passages that travels at once has about so many characters; its index takes about 100 bytes for each of them in a worker.
+BLOCK_CHARS = 2_000_000
 CHUNK_BYTES = 2_000_000
 #: Shared q-grams looked at together (more only where a stretch of text as long as a passage has more).
 POSTINGS = 4_000_000
@@ -78,13 +78,13 @@ class PassageIndex:
             self.bounds.append(max(1, int(run.min()) - self.q + 1 - self.q * edits))
             h = _grams(np.frombuffer(text, np.uint8))
             grams.append(h)
-            owner.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
+            owner.append(np.full(len(h), k, np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
         h = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
         h = h[order]
-        self.owner = (np.concatenate(owner) if owner else np.empty(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.empty(0, np.int64))[order]
+        self.owner = (np.concatenate(owner) if owner else np.empty(0, np.int32))[order]
+        self.place = (np.concatenate(place) if place else np.empty(0, np.int32))[order]
         self.grams, self.start, self.count = np.unique(h, return_index=True, return_counts=True)
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
@@ -128,7 +128,7 @@ class PassageIndex:
         owner = self.owner[posting]
         diagonal = where - self.place[posting] + 2 * int(self.length.max())
         for shift in (0, self.band // 2):
-            key = owner * np.int64(1 << 40) + (diagonal + shift) // self.band
+            key = owner.astype(np.int64) * (1 << 40) + (diagonal + shift) // self.band
             order = np.argsort(key, kind="stable")
             k = key[order]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
