@@ -240,6 +240,9 @@ HAVING max(ci_lower) FILTER ({_REAL.format("ci_lower")}) >= 0.5 AND max(n_oos_tr
 SELECT * FROM x WHERE was IS DISTINCT FROM now""",
     "lb_newest_log": """WITH l AS (SELECT json_extract(raw_tool_input, '$.name') AS name, arg_max(log_id, (timestamp, log_id)) AS log_id FROM (SELECT * FROM generation_logs WHERE raw_tool_input IS NOT NULL AND json_valid(raw_tool_input)) GROUP BY 1),
 e AS (SELECT id, CASE WHEN json_valid(config_json) THEN json_extract(config_json, '$.strategy') END AS name FROM evaluations)
+SELECT id, coalesce(log_id, -1) AS log_id FROM e LEFT JOIN l USING (name)""",
+    "lb_newest_log_aliases": """WITH l AS (SELECT json_extract(raw_tool_input, '$.name') AS name, arg_max(log_id, (timestamp, log_id)) AS log_id FROM (SELECT * FROM generation_logs WHERE raw_tool_input IS NOT NULL AND json_valid(raw_tool_input)) GROUP BY 1),
+e AS (SELECT id, CASE WHEN json_valid(config_json) THEN coalesce(json_extract(config_json, '$.strategy'), json_extract(config_json, '$.strategy_name')) END AS name FROM evaluations)
 SELECT id, coalesce(log_id, -1) AS log_id FROM e LEFT JOIN l USING (name)""",
     "lb_monthly_cost": f"{_G} SELECT coalesce(substring(moment, 1, 7), 'undated') AS month, round(sum(cost_usd), 6) AS cost, count(*) AS n FROM g GROUP BY 1",
     "lb_baskets": "SELECT asset_class, substring(sha256(string_agg(DISTINCT symbol, ',' ORDER BY symbol)), 1, 12) AS basket_hash, count(DISTINCT symbol) AS n_symbols FROM bars_5m GROUP BY 1",
