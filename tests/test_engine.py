@@ -492,18 +492,21 @@ def test_gate_rejects_what_can_never_trade():
         dsl.gate(dsl.parse(fits), {fits["archetype"]: (set(fits["supported_assets"]), {"1d"})})
 
 
-def test_no_checkpoint_folder_of_our_own_choice(monkeypatch):
-    from tidemark.session import ensure_checkpoint_dir
-
-    class Bare:
-        class sparkContext:  # noqa: N801
-            getCheckpointDir = staticmethod(lambda: None)
+@pytest.mark.parametrize(("master", "given", "chosen"), [("local[4]", None, "tidemark"), ("local", None, "tidemark"), ("spark://h:7077", "hdfs:///x", "hdfs:///x"), ("spark://h:7077", None, None), ("local-cluster[3,2,1024]", None, None), ("yarn", None, None)])
+def test_no_checkpoint_folder_of_our_own_choice_on_a_cluster(master, given, chosen):
+    from types import SimpleNamespace
 
-        class conf:  # noqa: N801
-            get = staticmethod(lambda k, default=None: default)
+    from tidemark.session import ensure_checkpoint_dir
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        ensure_checkpoint_dir(Bare)
+    seen = []
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master=master, setCheckpointDir=seen.append)
+    bare = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, default=None: given or default))
+    if chosen is None:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(bare)
+    else:
+        ensure_checkpoint_dir(bare)
+        assert chosen in seen[0]
 
 
 def test_hashes_of_logs_and_backfill(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; raises RuntimeError where there is none.
+    """Use the shared folder named by spark.checkpoint.dir; raises RuntimeError on a cluster where there is none.
 
-    A folder of one machine would lose what it holds with that machine, so the library never chooses one.
+    A folder of one machine would lose what it holds with that machine, so none is chosen on a cluster.  Only where
+    the whole of Spark is one process (master local), as in tests, a temporary folder serves.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
+    if not given and not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(given)
+    sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings used by tests and bench; on one machine, so its checkpoints may be in a temporary folder."""
+    """A local session with the settings used by tests and bench."""
     b = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tidemark")
@@ -54,7 +56,6 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
-        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():

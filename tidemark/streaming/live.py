@@ -81,13 +81,15 @@ def drain(stream: DataFrame) -> DataFrame:
 
 def drain_open(stream: DataFrame, keys: list[str]) -> DataFrame:
     """As ``drain``, with the windows that are still open when the data end: the last state of each key."""
-    root = _folder(stream)
+    root, spark = _folder(stream), stream.sparkSession
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
+    spark.createDataFrame([], schema).write.parquet(f"{root}/rows/none")  # a stream without data has no batch
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        batch.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/rows/{number}")
 
     q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/state")
     q.trigger(availableNow=True).start().awaitTermination()
-    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])).parquet(f"{root}/rows/batch=*")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/rows")
     values = F.struct(*[c for c in stream.columns if c not in keys])
     return rows.groupBy(*keys).agg(F.max_by(values, "__batch").alias("__v")).select(*keys, "__v.*")
