@@ -40,8 +40,8 @@ def ship(spark: SparkSession) -> None:
     import shutil
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory() as d:  # on the driver only; Spark serves the file from there
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/tidemark", "zip", root, "tidemark"))
+    d = tempfile.mkdtemp()  # on the driver only; Spark serves the file from there as long as the session lives
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/tidemark", "zip", root, "tidemark"))
 
 
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
